@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import blank, bucket_rows, ordered, rows_of
 from quern.runtime import lookup, materialise
@@ -34,6 +35,7 @@ LOOKALIKES = {
 }
 _TO_LATIN = {c: (s, l) for s, m in LOOKALIKES.items() for c, l in m.items()}
 _FROM_LATIN = {s: {l: c for c, l in m.items()} for s, m in LOOKALIKES.items() if s in ("CYRILLIC", "GREEK")}
+_SHARED = {l for _, l in _TO_LATIN.values()}
 _SAME_LOOK = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
 _INVISIBLE = re.compile("[­͏ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e0fff]")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -77,26 +79,31 @@ def script(ch: str) -> str:
     return unicodedata.name(ch, "").split(" ")[0] if ch.isalpha() else ""
 
 
+def _dominant(text: str, scripts: list[str]) -> str:
+    """The script with most letters that belong to it alone; then with most letters."""
+    firm: dict[str, tuple[int, int]] = {}
+    for c, s in zip(text, scripts):
+        if s:
+            a, b = firm.get(s, (0, 0))
+            firm[s] = (a + (c not in _TO_LATIN and c not in _SHARED), b + 1)
+    return max(firm, key=lambda s: (firm[s], s)) if firm else ""
+
+
 def proposals(folded: str) -> list[tuple[str, str]]:
     """Step 2's candidates in one folded string: ``(token, repaired)``."""
     if folded.isascii():
         return []
     tokens = [(t, [script(c) for c in t]) for t in _TOKEN.findall(folded)]
-    total: dict[str, int] = {}
-    for _, scripts in tokens:
-        for s in scripts:
-            if s:
-                total[s] = total.get(s, 0) + 1
-    if not total:
+    main = _dominant("".join(t for t, _ in tokens), [s for _, x in tokens for s in x])
+    if not main:
         return []
-    main = max(total, key=lambda s: (total[s], s))
     out = set()
     for t, scripts in tokens:
         own = {s for s in scripts if s}
         if not own - {"LATIN"} or (len(own) == 1 and main in own):
             continue
         # Latin first where the token has any Latin or stands in a Latin sentence, then the token's own majority.
-        most = max(own, key=lambda s: (scripts.count(s), s))
+        most = _dominant(t, scripts)
         for target in dict.fromkeys(["LATIN" if "LATIN" in own or main == "LATIN" else most, most]):
             to = "".join(c if s in ("", target) else _swap(c, s, target) for c, s in zip(t, scripts))
             if to != t and "\0" not in to:
@@ -109,7 +116,10 @@ def _swap(c: str, own: str, target: str) -> str:
     return latin if target == "LATIN" else _FROM_LATIN.get(target, {}).get(latin, "\0")
 
 
-@F.pandas_udf("struct<folded:string,tries:array<struct<token:string,repaired:string>>>")
+_TRY = T.StructType().add("token", T.StringType()).add("repaired", T.StringType())
+
+
+@F.pandas_udf(T.StructType().add("folded", T.StringType()).add("tries", T.ArrayType(_TRY)))
 def _folded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         done = [fold(t) for t in texts]
@@ -117,7 +127,7 @@ def _folded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"folded": done, "tries": tries})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, fixes in batches:
         out = []
