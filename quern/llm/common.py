@@ -34,26 +34,30 @@ def rows_of(df: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame
     return df.select(*cols, *[F.col(v).alias(k) for k, v in more.items()])
 
 
-def expand(pairs: DataFrame, members: DataFrame, block: int = 4096) -> DataFrame:
+def expand(pairs: DataFrame, members: DataFrame, others: DataFrame | None = None, block: int = 4096) -> DataFrame:
     """Pairs of classes to pairs of their rows.
 
     ``pairs``: ``u``, ``v`` (class ids, each pair once); ``members``:
     ``u``, ``id`` and other columns, which come out as ``x_a``, ``x_b``.
+    ``others`` holds the rows of ``v`` where they are not the same table.
     Large classes are cut into blocks, so that a pair of large classes is
     spread over many tasks.  The result has each pair of rows once per pair
     of classes, ``a`` from ``u`` and ``b`` from ``v``.
     """
-    sizes = members.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_m"))
-    values = [c for c in members.columns if c != "u"]
-    placed = members.join(sizes, "u").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
-    one = sizes.select(F.col("u"), F.col("_m").alias("_mu"))
-    two = sizes.select(F.col("u").alias("v"), F.col("_m").alias("_mv"))
-    spread = pairs.join(one, "u").join(two, "v")
-    spread = spread.withColumn("_bu", F.explode(F.expr("sequence(0, _mu - 1)")))
-    spread = spread.withColumn("_bv", F.explode(F.expr("sequence(0, _mv - 1)"))).select("u", "v", "_bu", "_bv")
-    a = placed.select("u", F.col("_b").alias("_bu"), *[F.col(c).alias(f"{c}_a") for c in values])
-    b = placed.select(F.col("u").alias("v"), F.col("_b").alias("_bv"), *[F.col(c).alias(f"{c}_b") for c in values])
-    return spread.join(a, ["u", "_bu"]).join(b, ["v", "_bv"]).drop("u", "v", "_bu", "_bv")
+
+    def placed(rows: DataFrame, cls: str, x: str) -> tuple[DataFrame, DataFrame]:
+        blocks = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(f"_m{x}")
+        sizes = rows.groupBy(F.col("u").alias(cls)).agg(blocks)
+        values = [F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "u"]
+        put = rows.select(F.col("u").alias(cls), "id", *values).join(sizes, cls)
+        return sizes, put.withColumn(f"_b{x}", F.pmod(F.xxhash64("id"), F.col(f"_m{x}")).cast("int")).drop("id", f"_m{x}")
+
+    size_a, a = placed(members, "u", "a")
+    size_b, b = placed(members if others is None else others, "v", "b")
+    spread = pairs.join(size_a, "u").join(size_b, "v")
+    spread = spread.withColumn("_ba", F.explode(F.expr("sequence(0, _ma - 1)")))
+    spread = spread.withColumn("_bb", F.explode(F.expr("sequence(0, _mb - 1)"))).select("u", "v", "_ba", "_bb")
+    return spread.join(a, ["u", "_ba"]).join(b, ["v", "_bb"]).drop("u", "v", "_ba", "_bb")
 
 
 def bucket_rows(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:

@@ -160,7 +160,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.6, rare_df: int = 64) ->
     return both.where(shared >= F.lit(threshold - 1e-9) * (F.size("_a") + F.size("_b") - shared)).select("sid_a", "sid_b")
 
 
-def _units(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_units(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distinct word sets, the units of rows that are alike for P1, P3 and words, and the rows of units.
 
     ``sets(sid, words)``, ``units(u, wid, copy, form)``, ``members(u, id, ...)``.
@@ -208,7 +208,7 @@ def found(df: DataFrame, id_col: str = "id", text_col: str = "sentence", thresho
     are there twice count once.
     """
     rows = rows_of(df, id_col, text_col).where(~blank(F.col("text")))
-    sets, units, members = _units(rows)
+    sets, units, members = split_units(rows)
     pairs = unit_pairs(sets, units, threshold, rare_df)
     return ordered(expand(pairs, _used(pairs, members)))
 
