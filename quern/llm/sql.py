@@ -3,7 +3,7 @@
 _KEYS = r"""
 keys AS (
   SELECT id, sentence, list_sort(list_filter(list_transform(string_split_regex(lower(sentence), '[,;]'),
-      p -> regexp_replace(p, '[\p{Z}\p{P}\p{S}\t\n\x0B\f\r\x{85}]+', '', 'g')), p -> p <> '')) AS k
+      lambda p: regexp_replace(p, '[\p{Z}\p{P}\p{S}\t\n\x0B\f\r\x{85}]+', '', 'g')), lambda p: p <> '')) AS k
   FROM training_rows
   WHERE sentence IS NOT NULL AND regexp_matches(sentence, '[^\p{Z}\t\n\x0B\f\r\x{85}]'))"""
 
