@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import copies, cross, lookalike, near
+from quern.llm import copies, cross, leaks, lookalike, mixing, near
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,15 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/training_rows.parquet")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = _table(spark, sf_dir, "mix_targets")
+    return mixing.choose(mixing.counted(_table(spark, sf_dir, "documents")), targets), targets
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: copies.found(_rows(s, d)),
@@ -26,4 +35,9 @@ def queries() -> dict[str, Query]:
         "p7_method": lambda s, d: cross.edit_pairs(_rows(s, d)),
         "p7_found": lambda s, d: cross.found(_rows(s, d)),
         "p7_report": lambda s, d: cross.report(_rows(s, d)),
+        "p8_found": lambda s, d: leaks.found(_table(s, d, "documents"), _table(s, d, "eval_items")),
+        "p8_items": lambda s, d: leaks.report(_table(s, d, "documents"), _table(s, d, "eval_items"), max_cover=0.8),
+        "p8_cleaned": lambda s, d: leaks.cleaned(_table(s, d, "documents"), _table(s, d, "eval_items"), max_cover=0.8),
+        "p9_mix": lambda s, d: _mix(s, d)[0],
+        "p9_shares": lambda s, d: mixing.shares(*_mix(s, d)),
     }

@@ -13,4 +13,9 @@ SELECT first_id, id AS copy_id FROM keys JOIN firsts USING (k) WHERE id <> first
     "p1_records": f"""WITH {_KEYS}
 SELECT min(id) AS first_id, arg_min(sentence, id) AS sentence, count(*) AS n_copies, count(DISTINCT sentence) AS n_spellings
 FROM keys GROUP BY k""",
+    "p8_found": r"""WITH item AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+item_runs AS (SELECT DISTINCT item_id, md5(array_to_string(w[i:i + 19], ' ')) AS run FROM item, unnest(range(1, len(w) - 18)) AS t(i)),
+doc_runs AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 19], ' ')) AS run FROM doc, unnest(range(1, len(w) - 18)) AS t(i))
+SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)""",
 }
