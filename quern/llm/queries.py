@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import copies, cross, garbled, leaks, lookalike, mixing, near
+from quern.llm import canon, copies, cross, garbled, leaks, lookalike, mixing, near
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,8 @@ def queries() -> dict[str, Query]:
         "p3_forms": lambda s, d: lookalike.consistent(_rows(s, d)).select("id", "form"),
         "p4_found": lambda s, d: garbled.found(_rows(s, d)),
         "p4_repaired": lambda s, d: garbled.repaired(_rows(s, d)),
+        "p6_found": lambda s, d: canon.found(_table(s, d, "ingredient_texts"), _table(s, d, "fdc_ingredients")),
+        "p6_unmatched": lambda s, d: canon.unmatched(_table(s, d, "ingredient_texts"), _table(s, d, "fdc_ingredients")),
         "p7_method": lambda s, d: cross.edit_pairs(_rows(s, d)),
         "p7_found": lambda s, d: cross.found(_rows(s, d)),
         "p7_report": lambda s, d: cross.report(_rows(s, d)),
