@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import canon, copies, cross, garbled, leaks, lookalike, mixing, near
+from quern.llm import canon, copies, cross, cutoff, garbled, leaks, lookalike, mixing, near
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,4 +44,6 @@ def queries() -> dict[str, Query]:
         "p8_cleaned": lambda s, d: leaks.cleaned(_table(s, d, "documents"), _table(s, d, "eval_items"), max_cover=0.8),
         "p9_mix": lambda s, d: _mix(s, d)[0],
         "p9_shares": lambda s, d: mixing.shares(*_mix(s, d)),
+        "p10_found": lambda s, d: cutoff.found(_table(s, d, "documents")),
+        "p10_sources": lambda s, d: cutoff.report(_table(s, d, "documents")),
     }
