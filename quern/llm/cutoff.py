@@ -137,7 +137,8 @@ def features(text: str, at_limit: bool = False) -> list[str]:
     if not prose or not closed:
         out.append(f"word {word[:12].lower()} {line[-1:].isalnum()}")
     if len(line) < 48:
-        out.append(f"whole {re.sub(r'[0-9]', '9', line)}")
+        out.append(f"whole {re.sub(r'[0-9]+', '9', line)}")
+        out.append(f"wrap {line[:1] if not line[:1].isalnum() else 'a'}{line[-1:] if not line[-1:].isalnum() else 'a'} {bool(open_)}")
         out.append(f"first {line.split(' ')[0][:16]}")
     # Rows of numbers: as many columns, and as many digits, as the row before.
     if len(lines) > 1 and re.search(r"\d$", line):
