@@ -291,12 +291,12 @@ def scored(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", sou
     return rows.select("doc_id", "source", "at_limit", _scored(shared)("text", F.col("at_limit")).alias("score"))
 
 
-def found(docs: DataFrame, threshold: float = 0.5, **columns: str) -> DataFrame:
+def found(docs: DataFrame, threshold: float = 0.6, **columns: str) -> DataFrame:
     """``doc_id`` of the texts that break off."""
     return scored(docs, **columns).where(F.col("score") > threshold).select("doc_id").distinct()
 
 
-def report(docs: DataFrame, threshold: float = 0.5, **columns: str) -> DataFrame:
+def report(docs: DataFrame, threshold: float = 0.6, **columns: str) -> DataFrame:
     """Per source: ``source, n_docs, n_cut, share, n_at_limit``."""
     cut = F.col("score") > threshold
     out = scored(docs, **columns).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(cut).alias("n_cut"), F.count_if("at_limit").alias("n_at_limit"))
