@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "parse_units"
+from quern.operators import quantities
+
+FLAGSHIP = "p5_amounts"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _amounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(table(spark, sf_dir, n) for n in ("ingredient_amounts", "composite_amounts", "unit_defs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "p5_found": lambda s, d: quantities.equal_amounts(quantities.common_amounts(*_amounts(s, d))),
+        "p5_amounts": lambda s, d: quantities.common_amounts(*_amounts(s, d)),
+        "p5_unresolved": lambda s, d: quantities.unresolved_units(*_amounts(s, d)),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
