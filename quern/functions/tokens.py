@@ -57,10 +57,10 @@ def is_capitalised(c: Column) -> Column:
 
 
 def without_accents(c: Column) -> Column:
-    """Latin letters without their accents (those of the Latin blocks below U+0250)."""
+    """Letters of the Latin, Greek and Cyrillic blocks without their accents, and no combining marks."""
     import unicodedata
 
-    pairs = [(chr(x), unicodedata.normalize("NFD", chr(x))) for x in range(0xC0, 0x250)]
+    pairs = [(chr(x), unicodedata.normalize("NFD", chr(x))) for x in (*range(0xC0, 0x530), *range(0x1E00, 0x2000))]
     pairs = [(a, b[0]) for a, b in pairs if len(b) > 1]
     c = F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
     return F.regexp_replace(c, r"\p{Mn}+", "")

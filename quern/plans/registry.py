@@ -6,26 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.operators import quantities
+from quern.plans import core
 
-FLAGSHIP = "p5_amounts"
+Query = Callable[[SparkSession, str], DataFrame]
 
+FLAGSHIP = "amounts_by_unit"
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def _amounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(table(spark, sf_dir, n) for n in ("ingredient_amounts", "composite_amounts", "unit_defs"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "p5_found": lambda s, d: quantities.equal_amounts(quantities.common_amounts(*_amounts(s, d))),
-        "p5_amounts": lambda s, d: quantities.common_amounts(*_amounts(s, d)),
-        "p5_unresolved": lambda s, d: quantities.unresolved_units(*_amounts(s, d)),
-    }
+def queries() -> dict[str, Query]:
+    return {name: q for name, (q, _) in core.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in core.QUERIES.items() if sql}
