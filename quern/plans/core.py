@@ -444,14 +444,14 @@ def grid_of_parameters(s: SparkSession, d: str) -> DataFrame:
 def streamed_tokens(s: SparkSession, d: str) -> DataFrame:
     """The row-local parts on a stream over the files, run once to its end."""
     kept = rows(s, d).select("id", "sentence", "loaded_at").schema
-    stream = s.readStream.schema(kept).parquet(f"{d}/training_rows.parquet")
+    stream = s.readStream.schema(kept).parquet(live.files(d, "training_rows"))
     return live.run_once(live.tokenised(stream).select("id", "normalised", "tokens"))
 
 
 @query()
 def streamed_counts(s: SparkSession, d: str) -> DataFrame:
     schema = table(s, d, "events").select("ts", "event_type").schema
-    stream = s.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    stream = s.readStream.schema(schema).parquet(live.files(d, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
     return live.run_once(live.counts(stream, "ts", "event_type", "1 day"))
 
 

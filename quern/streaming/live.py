@@ -19,6 +19,11 @@ def tokenised(stream: DataFrame, sentence_col: str = "sentence") -> DataFrame:
     return out.withColumn("tokens", tokenise(F.col("normalised")))
 
 
+def files(folder: str, name: str) -> str:
+    """A pattern for a table that is one file or a folder of files, as streams take no single file."""
+    return f"{folder}/{name}.parque[t]"
+
+
 def run_once(stream: DataFrame) -> DataFrame:
     """Runs a stream over what is there and gives the written result.
 
@@ -38,7 +43,8 @@ def records(stream: DataFrame) -> DataFrame:
 
 
 def counts(stream: DataFrame, time_col: str, by: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Rows per tumbling window and ``by``; rows later than ``late`` are not waited for."""
+    """Rows per tumbling window and ``by``; rows later than ``late`` are not
+    waited for, and a window is written once the watermark has passed it."""
     out = stream.withWatermark(time_col, late).groupBy(F.window(time_col, window).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("w.start").alias("start"), by, "n")
 
