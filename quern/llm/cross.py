@@ -109,12 +109,6 @@ def _rolling(text: str) -> tuple[np.ndarray, np.ndarray]:
     return prefix, powers
 
 
-def _key(length: int, i: int, value: np.ndarray) -> np.ndarray:
-    x = value ^ np.uint64((length * 64 + i) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(29))).view(np.int64)
-
-
 def _inverse_powers(n: int) -> np.ndarray:
     inv = np.uint64(pow(int(_BASE), -1, 1 << 64))
     out = np.empty(n + 1, np.uint64)
@@ -123,34 +117,45 @@ def _inverse_powers(n: int) -> np.ndarray:
     return out
 
 
+def _plan(n: int, k: int, held: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes and tags (length of the evaluation string, number of the
+    segment) of all substrings of a text of n characters that are looked up."""
+    starts, sizes, tags = [], [], []
+    for length in [n] if held else range(max(k + 1, n - k), n + k + 1):
+        for i, (at, size) in enumerate(_segments(length, k)):
+            lo = hi = at
+            if not held:
+                # Multi-match-aware: at most i edits before, and k - i after the segment.
+                shift = n - length
+                lo = max(0, at - i, at + shift - (k - i))
+                hi = min(n - size, at + i, at + shift + (k - i))
+            starts += range(lo, hi + 1)
+            sizes += [size] * max(0, hi - lo + 1)
+            tags += [(length * 64 + i) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1] * max(0, hi - lo + 1)
+    return np.array(starts, np.int64), np.array(sizes, np.int64), np.array(tags, np.uint64)
+
+
 def _signs(k: int, held: bool):  # noqa: ANN202
     """UDF: segment keys of an evaluation string, or of all substrings of a
     training string where a segment of some length within k may stand."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        plans: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         with np.errstate(over="ignore"):
             for texts in batches:
                 out = []
                 for text in texts:
                     n = len(text)
+                    if n not in plans:
+                        if len(plans) > 2000:
+                            plans.clear()
+                        plans[n] = _plan(n, k, held)
+                    starts, sizes, tags = plans[n]
                     prefix, _ = _rolling(text)
-                    inverse = _inverse_powers(n)
-                    keys = []
-                    for length in [n] if held else range(max(k + 1, n - k), n + k + 1):
-                        for i, (at, size) in enumerate(_segments(length, k)):
-                            if held:
-                                starts = np.array([at])
-                            else:
-                                # Multi-match-aware: at most i edits before, and k - i after the segment.
-                                shift = n - length
-                                lo = max(0, at - i, at + shift - (k - i))
-                                hi = min(n - size, at + i, at + shift + (k - i))
-                                starts = np.arange(lo, hi + 1)
-                            if len(starts):
-                                value = (prefix[starts + size] - prefix[starts]) * inverse[starts]
-                                keys.append(_key(length, i, value))
-                    out.append(np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64))
+                    x = (prefix[starts + sizes] - prefix[starts]) * _inverse_powers(n)[starts] ^ tags
+                    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                    out.append(np.unique((x ^ (x >> np.uint64(29))).view(np.int64)))
                 yield pd.Series(out)
 
     return sign
@@ -228,12 +233,12 @@ def edit_pairs(df: DataFrame, id_col: str = "id", text_col: str = "sentence", sp
 
 def _blocked(a: DataFrame, b: DataFrame, block: int = 512) -> DataFrame:
     """Joins two key tables; a key that is frequent on both sides is joined in blocks."""
-    size_b = b.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_mb"))
-    live = a.join(size_b, "key")
-    size_a = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_ma"))
-    sizes = size_b.join(size_a, "key")
-    left = a.join(sizes, "key").withColumn("_ba", F.pmod(F.xxhash64("train_id"), F.col("_ma")).cast("int"))
+    size_b = materialise(b.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_mb")))
+    # Few of the many training keys are those of a segment; only they are kept.
+    live = materialise(a.join(size_b, "key"))
+    size_a = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_ma"), F.first("_mb").alias("_mb"))
+    left = live.select("key", "train_id").join(size_a, "key").withColumn("_ba", F.pmod(F.xxhash64("train_id"), F.col("_ma")).cast("int"))
     left = left.withColumn("_bb", F.explode(F.expr("sequence(0, _mb - 1)"))).select("key", "_ba", "_bb", "train_id")
-    right = b.join(sizes, "key").withColumn("_bb", F.pmod(F.xxhash64("eval_id"), F.col("_mb")).cast("int"))
+    right = b.join(size_a, "key").withColumn("_bb", F.pmod(F.xxhash64("eval_id"), F.col("_mb")).cast("int"))
     right = right.withColumn("_ba", F.explode(F.expr("sequence(0, _ma - 1)"))).select("key", "_ba", "_bb", "eval_id")
     return left.join(right, ["key", "_ba", "_bb"]).select("train_id", "eval_id").distinct()
