@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,6 +161,27 @@ def _signs(k: int, held: bool):  # noqa: ANN202
     return sign
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bitmap(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """256 bits that tell which hashed character pairs a text has."""
+    for texts in batches:
+        out = []
+        for text in texts:
+            codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            bits = np.zeros(256, np.uint8)
+            with np.errstate(over="ignore"):
+                bits[((codes[:-1] * np.uint64(1_000_003) + codes[1:]) * _BASE >> np.uint64(56)).astype(np.int64)] = 1
+            out.append(np.packbits(bits).view(np.int64))
+        yield pd.Series(out)
+
+
+def _pair_bound(k: int) -> Column:
+    """An edit removes and adds at most two character pairs each, so texts
+    within k edits differ in at most 4 k of the bits."""
+    differ = [F.bit_count(F.get(F.col("_xa"), F.lit(i)).bitwiseXOR(F.get(F.col("_xb"), F.lit(i)))) for i in range(4)]
+    return differ[0] + differ[1] + differ[2] + differ[3] <= 4 * k
+
+
 def bounded_distance(a: str, b: str, k: int) -> int:
     """Edit distance if at most k, else k + 1; banded dynamic programming."""
     if abs(len(a) - len(b)) > k:
@@ -217,7 +238,8 @@ def edit_pairs(df: DataFrame, id_col: str = "id", text_col: str = "sentence", sp
     fit = F.length("text") > k
     a = train.where(fit).select(F.col("id").alias("train_id"), F.explode(_signs(k, False)("text")).alias("key"))
     b = held.where(fit).select(F.col("id").alias("eval_id"), F.explode(_signs(k, True)("text")).alias("key"))
-    pairs = _blocked(a, b)
+    maps = [materialise(x.select("id", _bitmap("text").alias("x"))) for x in (train, held)]
+    pairs = _blocked(a, b, maps[0].toDF("train_id", "_xa"), maps[1].toDF("eval_id", "_xb"), _pair_bound(k))
     short = F.length("text") <= 2 * k
     tiny_a = train.where(short).select(F.col("id").alias("train_id"), F.col("text").alias("_a"))
     tiny_b = held.where(short).select(F.col("id").alias("eval_id"), F.col("text").alias("_b"))
@@ -231,14 +253,15 @@ def edit_pairs(df: DataFrame, id_col: str = "id", text_col: str = "sentence", sp
     return measured.where(F.col("distance") <= k)
 
 
-def _blocked(a: DataFrame, b: DataFrame, block: int = 512) -> DataFrame:
-    """Joins two key tables; a key that is frequent on both sides is joined in blocks."""
+def _blocked(a: DataFrame, b: DataFrame, maps_a: DataFrame, maps_b: DataFrame, bound: Column, block: int = 512) -> DataFrame:
+    """Joins two key tables; a key that is frequent on both sides is joined in
+    blocks, and pairs beyond ``bound`` go in the join itself."""
     size_b = materialise(b.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_mb")))
     # Few of the many training keys are those of a segment; only they are kept.
     live = materialise(a.join(size_b, "key"))
     size_a = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_ma"), F.first("_mb").alias("_mb"))
     left = live.select("key", "train_id").join(size_a, "key").withColumn("_ba", F.pmod(F.xxhash64("train_id"), F.col("_ma")).cast("int"))
-    left = left.withColumn("_bb", F.explode(F.expr("sequence(0, _mb - 1)"))).select("key", "_ba", "_bb", "train_id")
+    left = left.join(maps_a, "train_id").withColumn("_bb", F.explode(F.expr("sequence(0, _mb - 1)"))).select("key", "_ba", "_bb", "train_id", "_xa")
     right = b.join(size_a, "key").withColumn("_bb", F.pmod(F.xxhash64("eval_id"), F.col("_mb")).cast("int"))
-    right = right.withColumn("_ba", F.explode(F.expr("sequence(0, _ma - 1)"))).select("key", "_ba", "_bb", "eval_id")
-    return left.join(right, ["key", "_ba", "_bb"]).select("train_id", "eval_id").distinct()
+    right = right.join(maps_b, "eval_id").withColumn("_ba", F.explode(F.expr("sequence(0, _ma - 1)"))).select("key", "_ba", "_bb", "eval_id", "_xb")
+    return left.join(right, ["key", "_ba", "_bb"]).where(bound).select("train_id", "eval_id").distinct()
