@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key held by at least this share of the rows is looked up by broadcast.
-HOT_SHARE = 1 / 1000
+#: So many of the most frequent keys are looked up by broadcast; every other
+#: key then has less than this share of the rows, whatever the data.
+HOT_KEYS = 1_000
 #: ... but never a key with fewer rows than this.
 HOT_LEAST = 10_000
 #: Spread of a hot key over tasks.
@@ -85,22 +86,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup(big: DataFrame, table: DataFrame, key: str, count: str, spread: Column, how: str = "left", total: int | None = None) -> DataFrame:
+def lookup(big: DataFrame, table: DataFrame, key: str, count: str, spread: Column, how: str = "left") -> DataFrame:
     """Joins ``table`` (one row per ``key``) to ``big`` without skew.
 
-    ``count`` is the column of ``table`` with the key's rows in ``big``.  Keys
-    with at least ``HOT_SHARE`` of the rows number at most ``1 / HOT_SHARE``,
-    whatever the data, so they are broadcast; all others are shuffled.  Hot
-    rows are spread by ``spread`` (a hash of their own id) in that shuffle.
-    Null keys match nothing.  The result has the columns of ``big`` and those
-    of ``table`` but ``key`` and ``count``.
+    ``count`` is the column of ``table`` with the key's rows in ``big``.  The
+    at most ``HOT_KEYS`` most frequent keys with ``HOT_LEAST`` rows or more
+    are broadcast; all others are shuffled.  Hot rows are spread by
+    ``spread`` (a hash of their own id) in that shuffle, where they match
+    nothing.  Null keys match nothing.  The result has the columns of ``big``
+    and those of ``table`` but ``key`` and ``count``.
     """
-    if total is None:
-        total = table.agg(F.sum(count)).first()[0] or 0
-    least = max(HOT_LEAST, int(total * HOT_SHARE))
     values = [c for c in table.columns if c not in (key, count)]
-    hot = table.where(F.col(count) >= least).select(F.col(key).alias("_k"), F.struct(*values).alias("_hot"))
-    cold = table.where(F.col(count) < least).select(F.col(key).alias("_k"), F.lit(0).alias("_s"), F.struct(*values).alias("_cold"))
+    keyed = table.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(count).alias("_c"), F.struct(*values).alias("_val"))
+    hot = keyed.where(F.col("_c") >= HOT_LEAST).orderBy(F.col("_c").desc(), "_k").limit(HOT_KEYS).select("_k", F.col("_val").alias("_hot"))
+    cold = keyed.select("_k", F.lit(0).alias("_s"), F.col("_val").alias("_cold"))
     salt = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), F.pmod(spread, F.lit(HOT_SALT)).cast("int") + 1).otherwise(F.lit(0))
     out = big.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left").drop("_k").withColumn("_salt", salt)
     out = out.join(cold, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
@@ -110,6 +109,14 @@ def lookup(big: DataFrame, table: DataFrame, key: str, count: str, spread: Colum
     return out.select(*big.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
+def broadcast_if_small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """Marks a table for broadcast if it has at most ``most`` rows; otherwise the optimizer decides.
+
+    ``df`` should be materialised, since its rows are counted.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bucket_pairs(df: DataFrame, key: str, block: int = 256) -> DataFrame:
     """All unordered pairs of rows with the same ``key``, hot keys in blocks.
 
@@ -119,8 +126,8 @@ def bucket_pairs(df: DataFrame, key: str, block: int = 256) -> DataFrame:
     of one key at a time.  Nothing is dropped.  ``df`` needs the column
     ``sid`` (bigint); pairs have ``sid_a < sid_b``.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    sized = df.join(sizes, key)
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("_uses", F.col("_n"))
+    sized = lookup(df, sizes, key, "_uses", F.xxhash64("sid"), how="inner")
     m = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("sid", F.lit(11)), F.col("_m")).cast("int")
     blocked = sized.withColumn("_m", m).withColumn("_b", own)
