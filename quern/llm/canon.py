@@ -169,7 +169,10 @@ def mapped(names: DataFrame, catalogue: DataFrame, id_col: str = "text_id", text
     first = F.when(F.col("_f") <= F.col("_q"), F.col("food")).otherwise(F.col("qualifier"))
     second = F.when(F.col("_f") <= F.col("_q"), F.col("qualifier")).otherwise(F.col("food"))
     keyed = ranked.select(first.alias("canon"), "entry", second.alias("second"), "state")
-    hit = read.join(keyed, "canon").select("sid", "n_words", "entry", "second", "state", F.col("slip").alias("s1"))
+    keyed = keyed.groupBy("canon").agg(F.collect_list(F.struct("entry", "second", "state")).alias("entries"))
+    keyed = keyed.join(read.groupBy("canon").agg(F.count(F.lit(1)).alias("uses")), "canon")
+    hit = lookup(read, keyed, "canon", "uses", F.xxhash64("sid"), how="inner").select("sid", "n_words", F.col("slip").alias("s1"), F.explode("entries").alias("_e"))
+    hit = hit.select("sid", "n_words", "_e.entry", "_e.second", "_e.state", "s1")
     two = read.select("sid", F.col("canon").alias("second"), F.col("slip").alias("s2"))
     hit = hit.join(two, ["sid", "second"])
     states = hit.select("sid", "entry", F.explode("state").alias("canon")).join(read.select("sid", "canon"), ["sid", "canon"])

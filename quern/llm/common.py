@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import bucket_pairs, materialise
+from quern.runtime import bucket_pairs, lookup, materialise
 
 #: White space in Unicode's sense, as a Java character class body.
 SPACES = r"\p{Z}\t\n\x0B\f\r\x85"
@@ -46,11 +46,11 @@ def expand(pairs: DataFrame, members: DataFrame, others: DataFrame | None = None
     """
 
     def placed(rows: DataFrame, cls: str, x: str) -> tuple[DataFrame, DataFrame]:
-        blocks = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(f"_m{x}")
-        sizes = rows.groupBy(F.col("u").alias(cls)).agg(blocks)
+        blocks = F.ceil(F.col("_uses") / F.lit(block)).cast("int").alias(f"_m{x}")
+        sizes = rows.groupBy(F.col("u").alias(cls)).agg(F.count(F.lit(1)).alias("_uses")).select(cls, "_uses", blocks)
         values = [F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "u"]
-        put = rows.select(F.col("u").alias(cls), "id", *values).join(sizes, cls)
-        return sizes, put.withColumn(f"_b{x}", F.pmod(F.xxhash64("id"), F.col(f"_m{x}")).cast("int")).drop("id", f"_m{x}")
+        put = lookup(rows.select(F.col("u").alias(cls), "id", *values), sizes, cls, "_uses", F.xxhash64("id"))
+        return sizes.drop("_uses"), put.withColumn(f"_b{x}", F.pmod(F.xxhash64("id"), F.col(f"_m{x}")).cast("int")).drop("id", f"_m{x}")
 
     size_a, a = placed(members, "u", "a")
     size_b, b = placed(members if others is None else others, "v", "b")
@@ -63,14 +63,14 @@ def expand(pairs: DataFrame, members: DataFrame, others: DataFrame | None = None
 def bucket_rows(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     """Pairs of rows whose texts differ but share ``key``.
 
-    ``rows``: ``id, text``; ``classes``: ``sid, text`` and ``key``, one row
-    per distinct text.  Only texts that share their key are expanded.
+    ``rows``: ``id, text``; ``classes``: ``sid, text, n`` and ``key``, one row
+    per distinct text with its number of rows.  Only texts that share their key are expanded.
     """
     pairs = bucket_pairs(classes.select("sid", F.col(key).alias("_key")), "_key")
     pairs = materialise(pairs.select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v")))
     used = pairs.select("u").union(pairs.select("v")).distinct()
-    wanted = classes.select(F.col("sid").alias("u"), "text").join(used, "u", "left_semi")
-    members = rows.join(wanted, "text").select("u", "id")
+    wanted = classes.select(F.col("sid").alias("u"), "text", "n").join(used, "u", "left_semi")
+    members = lookup(rows, wanted, "text", "n", F.xxhash64("id"), how="inner").select("u", "id")
     return expand(pairs, members)
 
 

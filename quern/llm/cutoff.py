@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import blank
-from quern.runtime import materialise
+from quern.runtime import broadcast_if_small, materialise
 
 #: Bound on the values that the fit cuts and learns from.
 SAMPLE = 12_000
@@ -264,7 +264,7 @@ def prepared(docs: DataFrame, doc_col: str, text_col: str, source_col: str) -> t
     limits = lengths.groupBy("source").agg(F.max("n").alias("limit"), F.max_by("k", "n").alias("at"), F.sum("k").alias("all"))
     limits = limits.where((F.col("at") >= LIMIT_LEAST) & (F.col("at") >= LIMIT_SHARE * F.col("all"))).select("source", "limit")
     limits = materialise(limits)
-    rows = rows.join(limits, "source", "left").withColumn("at_limit", F.coalesce(F.col("n") == F.col("limit"), F.lit(False)))
+    rows = rows.join(broadcast_if_small(limits), "source", "left").withColumn("at_limit", F.coalesce(F.col("n") == F.col("limit"), F.lit(False)))
     return rows, limits
 
 

@@ -179,5 +179,5 @@ def found(df: DataFrame, id_col: str = "id", text_col: str = "sentence") -> Data
     """``id_a, id_b``: rows with different strings of one form."""
     rows = rows_of(df, id_col, text_col).where(~blank(F.col("text")))
     texts = materialise(rows.groupBy("text").agg(F.min("id").alias("sid"), F.count(F.lit(1)).alias("n")))
-    forms = materialise(text_forms(texts.select("sid", "text")).select("sid", "form", "text"))
+    forms = materialise(text_forms(texts.select("sid", "text")).join(texts.select("sid", "n"), "sid").select("sid", "form", "text", "n"))
     return ordered(bucket_rows(rows, forms, "form"))

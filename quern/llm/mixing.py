@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.runtime import materialise
+from quern.runtime import lookup, materialise
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Splits of the public byte-level vocabulary; fixed value.
@@ -83,11 +83,10 @@ def choose(counts: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     counts = materialise(counts)
     sizes = counts.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     plan = materialise(budgets(sizes, targets, total_tokens))
-    # One row per source of the targets, whose number a mix states in advance; the optimizer picks the join.
-    part = plan.select("source", "budget", F.col("n_tokens").alias("_all"), F.ceil(F.col("n_docs") / RANGE_ROWS).cast("bigint").alias("_n"))
+    part = plan.select("source", "n_docs", "budget", F.col("n_tokens").alias("_all"), F.ceil(F.col("n_docs") / RANGE_ROWS).cast("bigint").alias("_n"))
     key = F.xxhash64("doc_id", F.lit(seed))
     place = F.shiftrightunsigned(key, 33)
-    rows = counts.join(part, "source").withColumn("_key", place).withColumn("_r", F.shiftright(place * F.col("_n"), 31))
+    rows = lookup(counts, part, "source", "n_docs", F.xxhash64("doc_id"), how="inner").withColumn("_key", place).withColumn("_r", F.shiftright(place * F.col("_n"), 31))
     ranges = rows.groupBy("source", "_r").agg(F.sum("n_tokens").alias("_sum"))
     ranges = ranges.withColumn("_rr", F.floor(F.col("_r") / RANGES))
     upper = ranges.groupBy("source", "_rr").agg(F.sum("_sum").alias("_sum"))

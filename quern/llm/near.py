@@ -136,7 +136,7 @@ def similar_sets(sets: DataFrame, threshold: float = 0.6, rare_df: int = 64) ->
     long = sets.select("sid", F.size("words").alias("size"), F.explode("words").alias("word"))
     df = long.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     common = df.where(F.col("df") > rare_df).select("word", "df", F.lit(True).alias("common"))
-    marked = lookup(long, common, "word", "df", F.xxhash64("sid"), total=None)
+    marked = lookup(long, common, "word", "df", F.xxhash64("sid"))
     marked = materialise(marked.select("sid", "size", "word", F.coalesce("common", F.lit(False)).alias("common")))
     # Case 1: one shared rare word.  By the length filter no pair of sizes is tried in vain.
     close = F.col("size_a") >= F.lit(threshold) * F.col("size_b")
@@ -177,8 +177,10 @@ def split_units(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sets = keyed.groupBy("words").agg(F.min("sid").alias("wid"), F.count(F.lit(1)).alias("n"))
     sets = materialise(sets)
     named = lookup(keyed.select("sid", "text", "words", "copy", "form", F.col("n").alias("uses")), sets, "words", "n", F.xxhash64("sid"))
-    units = named.groupBy("wid", "copy", "form").agg(F.min("sid").alias("u"))
-    texts_of = named.join(units, ["wid", "copy", "form"]).select("text", "u", "uses")
+    named = named.withColumn("unit", F.concat_ws(" ", "wid", "copy", "form"))
+    units = materialise(named.groupBy("unit", "wid", "copy", "form").agg(F.min("sid").alias("u"), F.count(F.lit(1)).alias("ways")))
+    texts_of = lookup(named, units.select("unit", "u", "ways"), "unit", "ways", F.xxhash64("sid")).select("text", "u", "uses")
+    units = units.select("wid", "copy", "form", "u")
     members = lookup(rows, texts_of, "text", "uses", F.xxhash64("id")).select("u", "id", *extra)
     return sets.select(F.col("wid").alias("sid"), "words"), units, members
 
