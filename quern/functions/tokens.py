@@ -39,6 +39,16 @@ def is_numeric(c: Column) -> Column:
     return c.rlike(rf"^{one}$") | (c.contains("-") & F.forall(F.split(c, "-"), lambda p: p.rlike(rf"^{one}$")))
 
 
+def is_float(c: Column) -> Column:
+    """A plain number literal."""
+    return c.rlike(rf"^{_FLOAT}$")
+
+
+def is_range(c: Column) -> Column:
+    """Two whole numbers or fractions with a hyphen; decimals are no range."""
+    return c.rlike(r"^[\d#$]+\s*-[\d#$]+$")
+
+
 def is_unit(c: Column) -> Column:
     return F.lower(c).isin(sorted({*vocab.UNITS.values()}))
 

@@ -11,7 +11,8 @@ from quern.functions import normalise as nz
 from quern.functions import rational, units
 from quern.functions import tokens as tk
 from quern.functions import vocab
-from quern.operators import assemble, catalogue, clusters, crf, evaluation, features, quality, quantities, structure
+from quern.operators import assemble, catalogue, clusters, crf, evaluation, experiments, features, quality, quantities, spans, structure
+from quern.plans import parse
 from quern.runtime import materialise
 from quern.sources import io
 from quern.streaming import live
@@ -220,6 +221,29 @@ def label_patterns(s: SparkSession, d: str) -> DataFrame:
     return rows(s, d).where("labels is not null").select("id", n(["QTY", "UNIT"], False).alias("pairs"), n(["QTY", "UNIT", "QTY", "UNIT"], True).alias("doubles"))
 
 
+def _labelled_long(s: SparkSession, d: str) -> DataFrame:
+    pairs = rows(s, d).where(F.size("tokens") == F.size("labels")).select("id", F.posexplode(F.arrays_zip("tokens", "labels")).alias("idx", "_x"))
+    return pairs.select(F.col("id").alias("sent_id"), F.col("idx").cast("bigint").alias("idx"), F.col("_x.tokens").alias("token"), F.col("_x.labels").alias("label"))
+
+
+@query(f"""WITH long AS (SELECT id AS sent_id, unnest(tokens) AS token, unnest(labels) AS label, unnest(range(len(labels))) AS idx FROM training_rows WHERE len(tokens) = len(labels)),
+t AS (SELECT *, lower(lag(token) OVER w) AS p, lower(lead(token) OVER w) AS n, sum((label = 'QTY')::INT) OVER w AS amount FROM long WINDOW w AS (PARTITION BY sent_id ORDER BY idx)),
+a AS (SELECT sent_id, amount, min(idx) AS start, coalesce(string_agg(token, ' ' ORDER BY idx) FILTER (WHERE label = 'QTY'), '') AS quantity, coalesce(string_agg(token, ' ' ORDER BY idx) FILTER (WHERE label = 'UNIT'), '') AS unit,
+ coalesce(bool_or(label = 'QTY' AND p IN ({_quoted(vocab.APPROXIMATE)})), false) AS a, coalesce(bool_or(label = 'UNIT' AND n IN ({_quoted(vocab.SINGULAR)})), false) AS s, coalesce(bool_or(label = 'QTY' AND p IN ('(', '[', '/')), false) AS linked
+ FROM t WHERE label IN ('QTY', 'UNIT') GROUP BY sent_id, amount), g AS (SELECT *, sum((NOT linked)::INT) OVER (PARTITION BY sent_id ORDER BY amount) AS g FROM a)
+SELECT sent_id, amount, start, quantity, unit, bool_or(a) OVER w AS approximate, bool_or(s) OVER w AS singular FROM g WINDOW w AS (PARTITION BY sent_id, g)""")
+def amount_groups(s: SparkSession, d: str) -> DataFrame:
+    return spans.amount_groups(_labelled_long(s, d))
+
+
+@query("""WITH long AS (SELECT id AS sent_id, unnest(tokens) AS token, unnest(labels) AS label, unnest(range(len(labels))) AS idx FROM training_rows WHERE len(tokens) = len(labels)),
+t AS (SELECT *, lag(label) OVER (PARTITION BY sent_id ORDER BY idx) AS p FROM long WHERE contains(label, 'NAME')),
+g AS (SELECT *, sum((starts_with(label, 'B_') OR label = 'NAME_SEP' OR p IS NULL OR p = 'NAME_SEP' OR label IN ('NAME_MOD', 'NAME_VAR') AND p <> label)::INT) OVER (PARTITION BY sent_id ORDER BY idx) AS part FROM t)
+SELECT sent_id, part, regexp_extract(arg_min(label, idx), '([A-Z]+)$', 1) AS kind, min(idx) AS start, string_agg(token, ' ' ORDER BY idx) AS text FROM g WHERE label <> 'NAME_SEP' GROUP BY sent_id, part""")
+def name_groups(s: SparkSession, d: str) -> DataFrame:
+    return spans.name_groups(_labelled_long(s, d))
+
+
 # -- records -------------------------------------------------------------------
 
 
@@ -285,22 +309,26 @@ def crf_tags(s: SparkSession, d: str) -> DataFrame:
     return decoded.select("sent_id", F.array_join("labels", " ").alias("labels"), F.transform("scores", lambda x: F.round(x, 4)).alias("scores"))
 
 
-@query()
-def crf_evaluate(s: SparkSession, d: str) -> DataFrame:
-    """Metrics on a stratified fifth of the labelled rows, of weights trained on the rest."""
+def _training(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Attributes (without the far context, for speed) and truth of the labelled rows."""
     fit = quality.without_other(rows(s, d))
-    split = evaluation.stratified_split(fit.select("id", "source"), "id", "source")
     long = fit.select(F.col("id").alias("sent_id"), F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("idx", "raw"))
     maps = features.feature_maps(features.context(features.describe(long)))
     far = [p + k for p in ("prev2_", "prev3_", "next2_", "next3_") for k in ("is_capitalised", "is_unit", "is_punc", "is_ambiguous", "is_in_parens", "is_after_comma", "is_after_plus", "word_shape", "pos_ngram")]
-    attrs = materialise(features.attributes(features.select_features(maps, far)))
-    per = crf.sentence_attributes(attrs).join(fit.select(F.col("id").alias("sent_id"), "labels"), "sent_id").join(split.select(F.col("id").alias("sent_id"), "is_test"), "sent_id")
-    state_w, trans_w = crf.train(per.where("not is_test"), vocab.LABELS, rounds=6)
-    held = split.where("is_test").select(F.col("id").alias("sent_id"))
-    tagged = crf.tag(attrs.join(held, "sent_id", "left_semi"), state_w, trans_w, vocab.LABELS)
-    pairs = tagged.select("sent_id", F.col("labels").alias("pred")).join(per.select("sent_id", "labels"), "sent_id")
-    long = pairs.select("sent_id", F.posexplode(F.arrays_zip("pred", "labels")).alias("idx", "_x")).select("sent_id", "idx", F.col("_x.labels").alias("truth"), F.col("_x.pred").alias("pred"))
-    return evaluation.label_metrics(long)
+    return materialise(features.attributes(features.select_features(maps, far))), fit.select(F.col("id").alias("sent_id"), "labels", "source")
+
+
+@query()
+def crf_evaluate(s: SparkSession, d: str) -> DataFrame:
+    """Metrics on a stratified fifth of the labelled rows, of weights trained on the rest."""
+    return evaluation.label_metrics(experiments.run(*_training(s, d), vocab.LABELS, rounds=6)[2])
+
+
+@query()
+def parse_sentences(s: SparkSession, d: str) -> DataFrame:
+    """Sentences to records, end to end, with the hand-set weights."""
+    out = parse.parse(rows(s, d), "id", "sentence", *_rule_weights(s))
+    return out.select("sent_id", "sentence", F.to_json(F.struct("name", "size", "amount", "preparation", "comment", "purpose")).alias("record"))
 
 
 _EMIT = "CASE WHEN regexp_matches(token, '^[0-9]') THEN 'QTY' WHEN lower(token) IN (" + _quoted(sorted({*vocab.UNITS.values()})) + f") THEN 'UNIT' WHEN {_PUNCT} THEN 'PUNC' ELSE 'B_NAME_TOK' END"
