@@ -45,10 +45,10 @@ def test_spans(spark):
 
 
 def test_experiments(spark):
-    words = [["2", "cup", "milk"], ["3", "tbsp", "flour"]]
+    words = [["2", "cup", "milk"], ["flour", "3", "tbsp"]]
     rows = [(i, k, f"word={w}") for i in range(20) for k, w in enumerate(words[i % 2])]
     attrs = spark.createDataFrame(rows + [(i, k, "bias=") for i, k, _ in rows], "sent_id int, idx int, attr string")
-    truth = spark.createDataFrame([(i, ["QTY", "UNIT", "B_NAME_TOK"], "s") for i in range(20)], "sent_id int, labels array<string>, source string")
+    truth = spark.createDataFrame([(i, ["B_NAME_TOK", "QTY", "UNIT"] if i % 2 else ["QTY", "UNIT", "B_NAME_TOK"], "s") for i in range(20)], "sent_id int, labels array<string>, source string")
     labels = ["QTY", "UNIT", "B_NAME_TOK"]
     grid = experiments.grid_search(attrs, truth, labels, {"c1": [0.0, 1e4], "rounds": [12], "bits": [8]}).collect()
     assert [r.c1 for r in grid] == ["0.0", "10000.0"] and grid[0].sentence_accuracy == 1.0 > grid[1].sentence_accuracy
