@@ -37,6 +37,11 @@ def rows(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "training_rows")
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, as sums in another order differ in the last digits."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def _quoted(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -96,7 +101,7 @@ joined AS (SELECT id, string_split(replace(chr(1) || array_to_string(p, chr(1))
 made AS (SELECT id, list_filter(flatten(list_transform(p, lambda t: CASE WHEN length(t) > 1 AND t LIKE '%.' AND NOT regexp_matches(t, '\.[A-Za-z0-9_]\.$') THEN [t[:-2], '.'] ELSE [t] END)), lambda t: t <> '') AS tokens FROM joined)"""
 
 
-@query(f"WITH {_TOKENS} SELECT id, array_to_string(tokens, '|') AS tokens, coalesce(len(tokens), -1) AS n FROM made")
+@query(f"WITH {_TOKENS} SELECT id, array_to_string(tokens, '|') AS tokens, coalesce(len(tokens), -1)::INT AS n FROM made")
 def tokenise(s: SparkSession, d: str) -> DataFrame:
     t = tk.tokenise(F.col("sentence"))
     return rows(s, d).select("id", t.alias("t")).select("id", F.array_join("t", "|").alias("tokens"), F.coalesce(F.when(F.col("t").isNotNull(), F.size("t")), F.lit(-1)).alias("n"))
@@ -231,7 +236,7 @@ t AS (SELECT *, lower(lag(token) OVER w) AS p, lower(lead(token) OVER w) AS n, s
 a AS (SELECT sent_id, amount, min(idx) AS start, coalesce(string_agg(token, ' ' ORDER BY idx) FILTER (WHERE label = 'QTY'), '') AS quantity, coalesce(string_agg(token, ' ' ORDER BY idx) FILTER (WHERE label = 'UNIT'), '') AS unit,
  coalesce(bool_or(label = 'QTY' AND p IN ({_quoted(vocab.APPROXIMATE)})), false) AS a, coalesce(bool_or(label = 'UNIT' AND n IN ({_quoted(vocab.SINGULAR)})), false) AS s, coalesce(bool_or(label = 'QTY' AND p IN ('(', '[', '/')), false) AS linked
  FROM t WHERE label IN ('QTY', 'UNIT') GROUP BY sent_id, amount), g AS (SELECT *, sum((NOT linked)::INT) OVER (PARTITION BY sent_id ORDER BY amount) AS g FROM a)
-SELECT sent_id, amount, start, quantity, unit, bool_or(a) OVER w AS approximate, bool_or(s) OVER w AS singular FROM g WINDOW w AS (PARTITION BY sent_id, g)""")
+SELECT sent_id, amount::BIGINT AS amount, start, quantity, unit, bool_or(a) OVER w AS approximate, bool_or(s) OVER w AS singular FROM g WINDOW w AS (PARTITION BY sent_id, g)""")
 def amount_groups(s: SparkSession, d: str) -> DataFrame:
     return spans.amount_groups(_labelled_long(s, d))
 
@@ -239,7 +244,7 @@ def amount_groups(s: SparkSession, d: str) -> DataFrame:
 @query("""WITH long AS (SELECT id AS sent_id, unnest(tokens) AS token, unnest(labels) AS label, unnest(range(len(labels))) AS idx FROM training_rows WHERE len(tokens) = len(labels)),
 t AS (SELECT *, lag(label) OVER (PARTITION BY sent_id ORDER BY idx) AS p FROM long WHERE contains(label, 'NAME')),
 g AS (SELECT *, sum((starts_with(label, 'B_') OR label = 'NAME_SEP' OR p IS NULL OR p = 'NAME_SEP' OR label IN ('NAME_MOD', 'NAME_VAR') AND p <> label)::INT) OVER (PARTITION BY sent_id ORDER BY idx) AS part FROM t)
-SELECT sent_id, part, regexp_extract(arg_min(label, idx), '([A-Z]+)$', 1) AS kind, min(idx) AS start, string_agg(token, ' ' ORDER BY idx) AS text FROM g WHERE label <> 'NAME_SEP' GROUP BY sent_id, part""")
+SELECT sent_id, part::BIGINT AS part, regexp_extract(arg_min(label, idx), '([A-Z]+)$', 1) AS kind, min(idx) AS start, string_agg(token, ' ' ORDER BY idx) AS text FROM g WHERE label <> 'NAME_SEP' GROUP BY sent_id, part""")
 def name_groups(s: SparkSession, d: str) -> DataFrame:
     return spans.name_groups(_labelled_long(s, d))
 
@@ -284,11 +289,11 @@ def rationals(s: SparkSession, d: str) -> DataFrame:
     return r.select("quantity", F.col("r.num").cast("bigint").alias("num"), F.col("r.den").cast("bigint").alias("den"))
 
 
-@query("""SELECT a.unit AS a, b.unit AS b, CASE WHEN a.dimension = b.dimension THEN a.factor_to_base WHEN a.dimension = 'volume' THEN a.factor_to_base * 0.9 ELSE a.factor_to_base / 0.9 END / b.factor_to_base AS factor FROM unit_defs a JOIN unit_defs b ON a.unit < b.unit""")
+@query("""SELECT a.unit AS a, b.unit AS b, round(CASE WHEN a.dimension = b.dimension THEN a.factor_to_base WHEN a.dimension = 'volume' THEN a.factor_to_base * 0.9 ELSE a.factor_to_base / 0.9 END / b.factor_to_base, 6) AS factor FROM unit_defs a JOIN unit_defs b ON a.unit < b.unit""")
 def conversions(s: SparkSession, d: str) -> DataFrame:
     u = table(s, d, "unit_defs").select("unit")
     both = u.toDF("a").join(u.toDF("b"), F.col("a") < F.col("b"))
-    return both.select("a", "b", units.converted(F.lit(1.0), F.col("a"), F.col("b"), 0.9).alias("factor"))
+    return _rounded(both.select("a", "b", units.converted(F.lit(1.0), F.col("a"), F.col("b"), 0.9).alias("factor")))
 
 
 # -- sequence labelling --------------------------------------------------------
@@ -348,18 +353,18 @@ _JUDGED = f"j AS (SELECT *, {_EMIT} AS pred FROM (SELECT id, source, unnest(toke
 
 @query(f"""WITH {_JUDGED}, l AS (SELECT DISTINCT truth AS label FROM j UNION SELECT DISTINCT pred FROM j),
 c AS (SELECT label, count(*) FILTER (WHERE truth = label AND pred = label) AS tp, count(*) FILTER (WHERE pred = label) AS np, count(*) FILTER (WHERE truth = label) AS support FROM l JOIN j ON truth = label OR pred = label GROUP BY label),
-e AS (SELECT label, CASE WHEN np = 0 THEN 0 ELSE tp / np END AS precision, CASE WHEN support = 0 THEN 0 ELSE tp / support END AS recall, CASE WHEN np + support = 0 THEN 0 ELSE 2 * tp / (np + support) END AS f1, support FROM c)
-SELECT * FROM e UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM e
-UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM e""")
+e AS (SELECT label, CASE WHEN np = 0 THEN 0 ELSE tp / np END AS precision, CASE WHEN support = 0 THEN 0 ELSE tp / support END AS recall, CASE WHEN np + support = 0 THEN 0 ELSE 2 * tp / (np + support) END AS f1, support FROM c),
+u AS (SELECT * FROM e UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM e
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM e)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM u""")
 def label_metrics(s: SparkSession, d: str) -> DataFrame:
-    out = evaluation.label_metrics(_judged(s, d))
-    return out
+    return _rounded(evaluation.label_metrics(_judged(s, d)))
 
 
 @query(f"""WITH {_JUDGED}, p AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE truth = pred) AS ok FROM j GROUP BY id)
-SELECT sum(n)::BIGINT AS tokens, sum(ok) / sum(n) AS token_accuracy, count(*) AS sentences, avg((n = ok)::INT) AS sentence_accuracy FROM p""")
+SELECT sum(n)::BIGINT AS tokens, round(sum(ok) / sum(n), 6) AS token_accuracy, count(*) AS sentences, round(avg((n = ok)::INT), 6) AS sentence_accuracy FROM p""")
 def label_accuracy(s: SparkSession, d: str) -> DataFrame:
-    return evaluation.accuracy(_judged(s, d))
+    return _rounded(evaluation.accuracy(_judged(s, d)))
 
 
 @query(f"WITH {_JUDGED} SELECT truth, " + ", ".join(f"count(*) FILTER (WHERE pred = '{p}') AS \"{p}\"" for p in ("B_NAME_TOK", "PUNC", "QTY", "UNIT")) + " FROM j GROUP BY truth")
@@ -387,15 +392,15 @@ _RUNS = [(1, 0.981, 0.951), (2, 0.979, 0.955), (3, 0.983, 0.949), (4, 0.98, 0.95
 
 
 @query("""WITH r(seed, t, s) AS (VALUES (1, 0.981::DOUBLE, 0.951::DOUBLE), (2, 0.979, 0.955), (3, 0.983, 0.949), (4, 0.98, 0.955))
-SELECT avg(t) AS token_mean, 3 * stddev_samp(t) AS token_3sd, avg(s) AS sentence_mean, 3 * stddev_samp(s) AS sentence_3sd, 2 AS best_seed, 3 AS worst_seed FROM r""")
+SELECT round(avg(t), 6) AS token_mean, round(3 * stddev_samp(t), 6) AS token_3sd, round(avg(s), 6) AS sentence_mean, round(3 * stddev_samp(s), 6) AS sentence_3sd, 2 AS best_seed, 3 AS worst_seed FROM r""")
 def run_summary(s: SparkSession, d: str) -> DataFrame:
-    return evaluation.run_summary(s.createDataFrame(_RUNS, "seed int, token_accuracy double, sentence_accuracy double"))
+    return _rounded(evaluation.run_summary(s.createDataFrame(_RUNS, "seed int, token_accuracy double, sentence_accuracy double")))
 
 
 # -- checks and searches -------------------------------------------------------
 
 
-@query("SELECT id, coalesce(len(tokens), 0) AS n_tokens, coalesce(len(labels), 0) AS n_labels FROM training_rows WHERE coalesce(len(tokens), 0) <> coalesce(len(labels), 0)")
+@query("SELECT id, coalesce(len(tokens), 0)::INT AS n_tokens, coalesce(len(labels), 0)::INT AS n_labels FROM training_rows WHERE coalesce(len(tokens), 0) <> coalesce(len(labels), 0)")
 def length_mismatches(s: SparkSession, d: str) -> DataFrame:
     return quality.length_mismatches(rows(s, d))
 
@@ -494,15 +499,15 @@ def _foods(s: SparkSession, d: str) -> DataFrame:
 _FOODS = r"f AS (SELECT fdc_id, regexp_extract_all(lower(description), '\p{L}+') AS tokens FROM fdc_ingredients), c AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM f) GROUP BY token), p AS (SELECT token, n, n / (SELECT sum(n) FROM c) AS p FROM c)"
 
 
-@query(f"WITH {_FOODS} SELECT token, n, p FROM p")
+@query(f"WITH {_FOODS} SELECT token, n, round(p, 6) AS p FROM p")
 def token_probability(s: SparkSession, d: str) -> DataFrame:
-    return catalogue.token_probability(_foods(s, d))
+    return _rounded(catalogue.token_probability(_foods(s, d)))
 
 
 @query(f"""WITH {_FOODS}, v AS (SELECT count(*)::DOUBLE AS v, min(p) AS min_p FROM p), n AS (SELECT floor(avg(len(tokens))) AS l FROM f),
-k AS (SELECT count(*) AS k FROM p, v, n WHERE p.p > 1 - pow(1 - 1 / v.v, n.l)) SELECT (1 - k / v) / (k / v * 0.5 * v) AS a, min_p FROM v, k""")
+k AS (SELECT count(*) AS k FROM p, v, n WHERE p.p > 1 - pow(1 - 1 / v.v, n.l)) SELECT round((1 - k / v) / (k / v * 0.5 * v), 6) AS a, round(min_p, 6) AS min_p FROM v, k""")
 def weight_factor(s: SparkSession, d: str) -> DataFrame:
-    return catalogue.weight_factor(_foods(s, d), catalogue.token_probability(_foods(s, d)))
+    return _rounded(catalogue.weight_factor(_foods(s, d), catalogue.token_probability(_foods(s, d))))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
