@@ -114,37 +114,40 @@ def token_similarity(a: Column, b: Column) -> Column:
 def token_probability(docs: DataFrame) -> DataFrame:
     """``token, n, p`` over ``id, tokens``."""
     counts = docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.join(F.broadcast(total)).select("token", "n", (F.col("n") / F.col("_t")).alias("p"))
+    counts = materialise(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    return counts.select("token", "n", (F.col("n") / F.lit(total)).alias("p"))
 
 
-def weight_factor(docs: DataFrame, probability: DataFrame) -> DataFrame:
-    """One row ``a, min_p``: the factor of unsupervised smoothed inverse frequency."""
-    v = probability.agg(F.count(F.lit(1)).cast("double").alias("v"), F.min("p").alias("min_p"))
-    n = docs.agg(F.floor(F.avg(F.size("tokens"))).alias("len"))
-    one = v.join(F.broadcast(n)).withColumn("limit", 1 - F.pow(1 - 1 / F.col("v"), F.col("len")))
-    over = probability.join(F.broadcast(one)).agg(F.count_if(F.col("p") > F.col("limit")).alias("k"))
-    alpha = F.col("k") / F.col("v")
-    return one.join(F.broadcast(over)).select(F.try_divide(1 - alpha, alpha * 0.5 * F.col("v")).alias("a"), "min_p")
+def weight_factor(docs: DataFrame, probability: DataFrame) -> tuple[float | None, float]:
+    """``a, min_p``: the factor of unsupervised smoothed inverse frequency and
+    the least probability.  ``a`` is None if no token is more probable than chance."""
+    v, min_p = probability.agg(F.count(F.lit(1)), F.min("p")).first()
+    size = docs.agg(F.floor(F.avg(F.size("tokens")))).first()[0] or 0
+    if not v:
+        return None, 1.0
+    limit = 1 - (1 - 1 / v) ** size
+    alpha = probability.where(F.col("p") > limit).count() / v
+    return ((1 - alpha) / (alpha * 0.5 * v) if alpha else None), min_p
 
 
-def embed(docs: DataFrame, vectors: DataFrame, probability: DataFrame, factor: DataFrame) -> DataFrame:
+def embed(docs: DataFrame, vectors: DataFrame, probability: DataFrame, factor: tuple[float | None, float]) -> DataFrame:
     """``id, vec``: the weighted mean of token vectors, each dimension normalised over the document's tokens.
 
     ``docs``: ``id, tokens``; ``vectors``: ``token, vec``.  A document without
     a known token gets the factor in every dimension.
     """
-    dim = vectors.select(F.size("vec").alias("d")).limit(1)
+    a, min_p = F.lit(factor[0]).cast("double"), F.lit(factor[1])
+    first = vectors.select(F.size("vec")).first()
+    dim = first[0] if first else 0
     long = docs.select("id", F.posexplode("tokens").alias("at", "token")).join(vectors, "token")
-    weighted = long.join(probability.select("token", "p"), "token", "left").join(F.broadcast(factor))
-    weighted = weighted.withColumn("w", F.col("a") / (0.5 * F.col("a") + F.coalesce("p", "min_p")))
+    weighted = long.join(probability.select("token", "p"), "token", "left").withColumn("w", a / (0.5 * a + F.coalesce(F.col("p"), min_p)))
     cells = weighted.select("id", "w", F.posexplode("vec").alias("k", "x"))
     # Norm and weighted sum of a dimension come from the same pass.
     dims = cells.groupBy("id", "k").agg(F.sqrt(F.sum(F.col("x").cast("double") ** 2)).alias("norm"), F.sum(F.col("w") * F.col("x")).alias("s"), F.count(F.lit(1)).alias("n"))
     value = F.coalesce(F.try_divide("s", F.col("norm") * F.col("n")), F.lit(0.0))
     made = dims.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda c: c["v"]).alias("vec"))
-    filled = docs.select("id").join(made, "id", "left").join(F.broadcast(factor)).join(F.broadcast(dim))
-    return filled.select("id", F.coalesce("vec", F.array_repeat("a", F.col("d"))).alias("vec"))
+    return docs.select("id").join(made, "id", "left").select("id", F.coalesce(F.col("vec"), F.array_repeat(a, dim)).alias("vec"))
 
 
 def nearest(queries: DataFrame, entries: DataFrame, n: int = 50, block: int = 2_000) -> DataFrame:
@@ -195,7 +198,7 @@ def match(names: DataFrame, foods: DataFrame, vectors: DataFrame, overrides: Dat
     has = spelled.select("qid", F.explode("tokens").alias("token")).join(known, "token", "left_semi").select("qid").distinct()
     spelled = spelled.join(has, "qid", "left_semi")
     probability = materialise(token_probability(foods))
-    factor = materialise(weight_factor(foods, probability))
+    factor = weight_factor(foods, probability)
     entries = embed(foods.select(F.col("fdc_id").alias("id"), "tokens"), vectors, probability, factor).select(F.col("id").alias("eid"), F.col("vec").alias("evec"))
     queries = embed(spelled.select(F.col("qid").alias("id"), "tokens"), vectors, probability, factor).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     close = nearest(materialise(queries), materialise(entries), n)

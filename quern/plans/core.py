@@ -289,10 +289,9 @@ def rationals(s: SparkSession, d: str) -> DataFrame:
     return r.select("quantity", F.col("r.num").cast("bigint").alias("num"), F.col("r.den").cast("bigint").alias("den"))
 
 
-@query("""SELECT a.unit AS a, b.unit AS b, round(CASE WHEN a.dimension = b.dimension THEN a.factor_to_base WHEN a.dimension = 'volume' THEN a.factor_to_base * 0.9 ELSE a.factor_to_base / 0.9 END / b.factor_to_base, 6) AS factor FROM unit_defs a JOIN unit_defs b ON a.unit < b.unit""")
+@query("""SELECT a.unit AS a, b.unit AS b, round(CASE WHEN a.dimension = b.dimension THEN a.factor_to_base WHEN a.dimension = 'volume' THEN a.factor_to_base * 0.9 ELSE a.factor_to_base / 0.9 END / b.factor_to_base, 6) AS factor FROM unit_defs a JOIN unit_defs b ON b.unit IN ('gram', 'cup')""")
 def conversions(s: SparkSession, d: str) -> DataFrame:
-    u = table(s, d, "unit_defs").select("unit")
-    both = u.toDF("a").join(u.toDF("b"), F.col("a") < F.col("b"))
+    both = table(s, d, "unit_defs").select(F.col("unit").alias("a"), F.explode(F.array(F.lit("gram"), F.lit("cup"))).alias("b"))
     return _rounded(both.select("a", "b", units.converted(F.lit(1.0), F.col("a"), F.col("b"), 0.9).alias("factor")))
 
 
@@ -507,7 +506,8 @@ def token_probability(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_FOODS}, v AS (SELECT count(*)::DOUBLE AS v, min(p) AS min_p FROM p), n AS (SELECT floor(avg(len(tokens))) AS l FROM f),
 k AS (SELECT count(*) AS k FROM p, v, n WHERE p.p > 1 - pow(1 - 1 / v.v, n.l)) SELECT round((1 - k / v) / (k / v * 0.5 * v), 6) AS a, round(min_p, 6) AS min_p FROM v, k""")
 def weight_factor(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(catalogue.weight_factor(_foods(s, d), catalogue.token_probability(_foods(s, d))))
+    factor = catalogue.weight_factor(_foods(s, d), catalogue.token_probability(_foods(s, d)))
+    return _rounded(s.createDataFrame([factor], "a double, min_p double"))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -569,8 +569,8 @@ def events_by_type(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("users"))
 
 
-@query("SELECT (SELECT count(*) FROM events) AS n_rows, count(*) AS n_keys FROM (SELECT DISTINCT unnest(json_keys(props)) FROM events)")
+@query("SELECT k, count(*) AS n_rows FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k")
 def json_keys(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
-    keys = e.select(F.explode(F.json_object_keys("props")).alias("k")).agg(F.countDistinct("k").alias("n_keys"))
-    return e.agg(F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(keys))
+    keys = e.select(F.explode(F.json_object_keys("props")).alias("k"))
+    return keys.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -175,7 +175,7 @@ def test_embedding_matches_numpy(spark):
     df = spark.createDataFrame([(i, t) for i, t in docs.items()], "id int, tokens array<string>")
     p = catalogue.token_probability(df)
     f = catalogue.weight_factor(df, p)
-    a, prob = f.first().a, {r.token: r.p for r in p.collect()}
+    a, prob = f[0], {r.token: r.p for r in p.collect()}
     got = {r.id: r.vec for r in catalogue.embed(df, vectors, p, f).collect()}
     m = np.array([vec["a"], vec["b"]])
     w = np.array([[a / (0.5 * a + prob[t])] for t in "ab"])
