@@ -62,13 +62,11 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     goal = targets.select(F.col("source"), F.col("target_share").cast("double"), F.col("max_repeats").cast("bigint")).where("source is not null")
     both = goal.join(sizes, "source", "left").na.fill(0, ["n_docs", "n_tokens"])
     cap = F.col("max_repeats") * F.col("n_tokens")
-    if total_tokens is None:
-        reach = both.where((cap > 0) & (F.col("target_share") > 0)).agg(F.min(cap / F.col("target_share")).alias("reach"))
-    else:
-        reach = goal.sparkSession.createDataFrame([(float(total_tokens),)], "reach double")
-    want = F.floor(F.col("target_share") * F.coalesce("reach", F.lit(0.0)) + 1e-6)
-    # ``reach`` is one row.
-    return both.join(F.broadcast(reach)).select(*both.columns, F.least(want, cap).cast("bigint").alias("budget"))
+    reach = total_tokens
+    if reach is None:
+        reach = both.where((cap > 0) & (F.col("target_share") > 0)).agg(F.min(cap / F.col("target_share"))).first()[0]
+    want = F.floor(F.col("target_share") * F.lit(float(reach or 0)) + 1e-6)
+    return both.select(*both.columns, F.least(want, cap).cast("bigint").alias("budget"))
 
 
 def choose(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
@@ -81,7 +79,7 @@ def choose(counts: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     short of it by less than the document at which it is cut.
     """
     counts = materialise(counts)
-    sizes = counts.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    sizes = materialise(counts.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")))
     plan = materialise(budgets(sizes, targets, total_tokens))
     part = plan.select("source", "n_docs", "budget", F.col("n_tokens").alias("_all"), F.ceil(F.col("n_docs") / RANGE_ROWS).cast("bigint").alias("_n"))
     key = F.xxhash64("doc_id", F.lit(seed))
@@ -106,6 +104,6 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source of the targets: ``source, target_share, n_docs, n_tokens, actual_share, most_repeats``."""
     used = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.max("repeats").alias("most_repeats"))
     goal = targets.select("source", "target_share").where("source is not null")
-    both = goal.join(used, "source", "left").na.fill(0, ["n_docs", "n_tokens", "most_repeats"])
-    total = used.agg(F.sum("n_tokens").alias("_total"))
-    return both.join(F.broadcast(total)).select(*both.columns, F.coalesce(F.col("n_tokens") / F.col("_total"), F.lit(0.0)).alias("actual_share"))
+    both = materialise(goal.join(used, "source", "left").na.fill(0, ["n_docs", "n_tokens", "most_repeats"]))
+    total = both.agg(F.sum("n_tokens")).first()[0] or 1
+    return both.withColumn("actual_share", F.col("n_tokens") / F.lit(total))
