@@ -78,8 +78,18 @@ def similar_words(typed: DataFrame, listed: DataFrame, threshold: float = WORD_J
     return both.withColumn("jaccard", shared / (F.size("_a") + F.size("_b") - shared)).where(F.col("jaccard") >= threshold - 1e-9).select("word", "other", "jaccard")
 
 
-def _edits(a: str, b: str) -> int:
-    """Edits incl. swaps of neighbours (optimal string alignment)."""
+def _edits(a: str, b: str, most: int = 2) -> int:
+    """Edits incl. swaps of neighbours (optimal string alignment), ``most + 1`` if more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b)
+    if min(len(a), len(b)) > 2 * most + 2 and not set(a[:3]) & set(b[:3]):
+        return most + 1
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -88,6 +98,8 @@ def _edits(a: str, b: str) -> int:
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 v = min(v, two[j - 2] + 1)
             row.append(v)
+        if min(row) > most:
+            return most + 1
         two, one = one, row
     return one[-1]
 
@@ -117,7 +129,11 @@ def slip(word: str, other: str) -> float:
         if len(word) < len(other) - 1 and other.startswith(word):
             return 0.9
     short = min(len(plain), len(base))
-    edits = min(_edits(word, other), _edits(plain, base), *(_edits(word, x) for x in _plurals(other)))
+    edits = 3
+    for x, y in {(word, other), (plain, base), *((word, x) for x in _plurals(other))}:
+        edits = min(edits, _edits(x, y))
+        if edits < 2:
+            break
     if edits == 1 and short >= 3:
         return 0.88 if short > 4 else 0.75
     if edits == 2 and short >= 6:
@@ -158,9 +174,14 @@ def mapped(names: DataFrame, catalogue: DataFrame, id_col: str = "text_id", text
     alias = spark.createDataFrame(sorted(SYNONYMS.items()), "other string, canon string").join(listed, "canon", "left_semi")
     listed = materialise(listed.select(F.col("canon").alias("other"), "canon").unionByName(alias))
     typed = materialise(long.groupBy("word").agg(F.count(F.lit(1)).alias("uses")))
-    readings = similar_words(typed.select("word"), listed.select("other").distinct()).withColumn("slip", _slip("word", "other")).where("slip > 0")
+    near = similar_words(typed.select("word"), listed.select("other").distinct())
+    # Two edits and a plural change the length by at most four; an abbreviation is shorter and begins alike.
+    short = (F.left("word", F.lit(1)) == F.left("other", F.lit(1))) & (F.length("word") < F.length("other"))
+    near = near.where((F.abs(F.length("word") - F.length("other")) <= 4) | short)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    readings = near.repartition(tasks, "word", "other").withColumn("slip", _slip("word", "other")).where("slip > 0")
     readings = readings.join(listed, "other").groupBy("word", "canon").agg(F.max("slip").alias("slip"))
-    best = readings.groupBy("word").agg(F.collect_list(F.struct("canon", "slip")).alias("readings")).join(typed, "word")
+    best = materialise(readings.groupBy("word").agg(F.collect_list(F.struct("canon", "slip")).alias("readings")).join(typed, "word"))
     read = lookup(long, best, "word", "uses", F.xxhash64("sid"), how="inner").select("sid", "n_words", "word", F.explode("readings").alias("_r"))
     read = materialise(read.select("sid", "n_words", F.col("_r.canon").alias("canon"), F.col("_r.slip").alias("slip")).groupBy("sid", "n_words", "canon").agg(F.max("slip").alias("slip")))
     # The rarer of food and qualifier is the entry's prefix.
