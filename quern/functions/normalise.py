@@ -17,8 +17,30 @@ from pyspark.sql import types as T
 
 from quern.functions import vocab
 
-_UNITS = "|".join(map(re.escape, sorted({*vocab.UNIT_FORMS, "in", "x"}, key=lambda u: (-len(u), u))))
-_KNOWN = "|".join(map(re.escape, vocab.UNIT_FORMS))
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern for any of the words, longest first, with common beginnings
+    tried once: a long plain alternation costs its length at every character."""
+    tree: dict = {}
+    for w in sorted(set(words)):
+        at = tree
+        for ch in w:
+            at = at.setdefault(ch, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [re.escape(ch) + pattern(nxt) for ch, nxt in sorted(node.items()) if ch]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return body + "?" if "" in node else body
+
+    return pattern(tree)
+
+
+_UNITS = any_of([*vocab.UNIT_FORMS, "in", "x"])
+_KNOWN = any_of(vocab.UNIT_FORMS)
 _NUMBER = r"[\d.]+|\d*#\d+\$\d+"
 _RANGE_END = r"0\.[0-9]{}|[1-9][\d.]*?|\d*#\d+\$\d+"
 
