@@ -110,10 +110,12 @@ def _latin(c: str) -> bool:
 def _plausible(old: str, new: str) -> tuple[list[str], list[str]]:
     """Words of the reading, and the words and characters among them that the
     sound part of the corpus must have: words with a restored letter that are
-    not wholly Latin, and restored marks, numerals and symbols."""
+    not wholly Latin, and restored rare letters, marks, numerals and symbols."""
     fresh = set(new) - set(old)
     words = _WORD.findall(new)
     must = [w for w in words if any(c in fresh and c.isalpha() for c in w) and not all(_latin(c) for c in w if c.isalpha())]
+    # Letters beyond the accented ones of common languages are mostly chance readings of two sound characters.
+    must += [c for c in sorted(fresh) if c.isalpha() and _latin(c) and c > "\u017f"]
     return words, must + [c for c in sorted(fresh) if not c.isalpha() and unicodedata.category(c)[0] in "MNSC" and unicodedata.category(c) not in ("Sc", "Sk")]
 
 
