@@ -101,7 +101,7 @@ def features(text: str, at_limit: bool = False) -> list[str]:
     line_at = body.rfind("\n") + 1
     line = body[line_at:]
     part_at = body.rfind("\n\n") + 2 if "\n\n" in body else 0
-    part = body[part_at:][-6000:]
+    part = body[part_at:]
     lines = part.split("\n")
     last = _WORDS.findall(line[-80:])
     word = last[-1] if last else ""

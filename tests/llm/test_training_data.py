@@ -385,6 +385,14 @@ def test_cutoff_edges(spark):
     assert cutoff._container('{"a": 1}') == "closed" and cutoff._container('{"a": [1') == "open" and cutoff._container("text") == ""
 
 
+def test_marks_opened_far_before_the_end_are_seen():
+    call = "value = load(\n" + "".join(f"    {i}, 0.5,\n" for i in range(2000))
+    assert len(call) > 20000
+    assert "open in(" in cutoff.features(call + "    7, 0.") and "open in(" not in cutoff.features(call + "    7)")
+    block = 'text = """\n' + "x = [1, 2]\n" * 1000
+    assert 'open quote"""' in cutoff.features(block + "  y = (1") and 'open quote"""' not in cutoff.features(block + '  """)')
+
+
 def test_fit_separates():
     rows_ = [([1, 2], 1), ([1, 3], 0)] * 50
     w = cutoff.fit(rows_)
