@@ -314,18 +314,17 @@ def crf_tags(s: SparkSession, d: str) -> DataFrame:
 
 
 def _training(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Attributes (without the far context, for speed) and truth of the labelled rows."""
+    """All attributes and the truth of the labelled rows."""
     fit = quality.without_other(rows(s, d))
     long = fit.select(F.col("id").alias("sent_id"), F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("idx", "raw"))
-    maps = features.feature_maps(features.context(features.describe(long)))
-    far = [p + k for p in ("prev2_", "prev3_", "next2_", "next3_") for k in ("is_capitalised", "is_unit", "is_punc", "is_ambiguous", "is_in_parens", "is_after_comma", "is_after_plus", "word_shape", "pos_ngram")]
-    return materialise(features.attributes(features.select_features(maps, far))), fit.select(F.col("id").alias("sent_id"), "labels", "source")
+    maps = features.feature_maps(structure.token_flags(features.context(features.describe(long))))
+    return materialise(features.attributes(maps)), fit.select(F.col("id").alias("sent_id"), "labels", "source")
 
 
 @query()
 def crf_evaluate(s: SparkSession, d: str) -> DataFrame:
     """Metrics on a stratified fifth of the labelled rows, of weights trained on the rest."""
-    return evaluation.label_metrics(experiments.run(*_training(s, d), vocab.LABELS, rounds=6)[2])
+    return evaluation.label_metrics(experiments.run(*_training(s, d), vocab.LABELS)[2])
 
 
 @query()

@@ -59,6 +59,19 @@ def test_experiments(spark):
     assert experiments.repeated(attrs, truth, labels, [1, 2], rounds=8, bits=8).count() == 2
 
 
+def test_evaluation_trains_on_all_attributes(spark, tmp_path, monkeypatch):
+    words = "2 cups red or green apples such as Gala , or 1 tsp salt".split()
+    labels = "QTY UNIT B_NAME_TOK NAME_SEP B_NAME_TOK I_NAME_TOK COMMENT COMMENT COMMENT PUNC COMMENT COMMENT COMMENT COMMENT".split()
+    data = [(i, "s", " ".join(words), words, labels) for i in range(10)]
+    spark.createDataFrame(data, "id int, source string, sentence string, tokens array<string>, labels array<string>").write.parquet(f"{tmp_path}/training_rows.parquet")
+    keys = {r.k for r in core._training(spark, str(tmp_path))[0].select(F.substring_index("attr", "=", 1).alias("k")).distinct().collect()}
+    assert {"mip_start", "mip_end", "after_sentence_split", "example_phrase", "next_mip_end", "prev3_pos_ngram", "prev2_is_unit", "next2_word_shape", "next3_is_capitalised"} <= keys
+    asked = []
+    run = experiments.run
+    monkeypatch.setattr(experiments, "run", lambda *args, **options: asked.append(options) or run(*args, rounds=1))
+    assert core.crf_evaluate(spark, str(tmp_path)).count() and asked == [{}]
+
+
 def test_ranges_and_floats(spark):
     df = spark.createDataFrame([("1-2",), ("0.5-1",), ("#1$2-#3$4",), ("3",), ("x",)], "t string")
     assert [tuple(r) for r in df.select(tk.is_range(F.col("t")), tk.is_float(F.col("t"))).collect()] == [(True, False), (False, False), (True, False), (False, True), (False, False)]
