@@ -177,6 +177,22 @@ def test_lost_bytes_double_decoding_and_look_alikes(spark):
     assert pairs(garbled.found(rows(spark, ["x"], sources={1: "cÃ´te"}))) == {(1, "source")}
 
 
+def test_lost_bytes_agree_with_all_kept_characters(spark):
+    want = {
+        "г�иль": "гриль", "ск�т": "скот", "��иль": "гриль", "ελ��": "ελιά", "Ã�tÃ©": "Été", "sautÃ�ed": "sautéed", "sautÃƒ�©ed": "sautéed", "Рі�ЂРёР»СЊ": "гриль",
+        "РіСЂРё�Р»СЊ": None, "«cr�me»": "«crème»", "�": None, "жжж�": None, "cr��me": "crème", "côt�": "côté", "a�a�": "açaí",
+    }
+    sound = [*SOUND, *["гриль", "скот", "Été", "côté", "crâme"], *["грибы"] * 5, *["crème"] * 3]
+    got = {r.value: r for r in garbled.repaired(rows(spark, [*sound, *want], sources={1: "côte"})).collect()}
+    assert {bad: got[bad].restored for bad in want} == want
+    assert all(got[bad].complete == (new is not None) for bad, new in want.items())
+
+
+def test_best_path_over_words():
+    arcs = [(0, 1, "Ã", -9.0), (1, 2, "©", -9.0), (2, 4, "t�", -9.0), (2, 4, "tà", -3.0), (0, 4, "été", -4.0), (0, 2, "é", -2.0)]
+    assert garbled.best_path("Ã©t�", arcs) == "été" and garbled.best_path("Ã©t�", arcs[:4]) == "Ã©tà"
+
+
 # -- 6 catalogue -------------------------------------------------------------------
 
 FOODS = [(1, "t", "Plum, amber, dried", "c"), (2, "t", "Leek (tender), no salt", "c"), (3, "t", "Chickpeas, roasted", "c"), (4, "t", "Beet, tender", "c"), (5, "t", "Blueberry, tart, dried", "c"), (6, "t", "Arugula, winter", "c")]
