@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import bucket_pairs, lookup, materialise
+from quern.runtime import lookup, materialise, stored
 
 #: White space in Unicode's sense, as a Java character class body.
 SPACES = r"\p{Z}\t\n\x0B\f\r\x85"
@@ -34,44 +34,44 @@ def rows_of(df: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame
     return df.select(*cols, *[F.col(v).alias(k) for k, v in more.items()])
 
 
-def expand(pairs: DataFrame, members: DataFrame, others: DataFrame | None = None, block: int = 4096) -> DataFrame:
-    """Pairs of classes to pairs of their rows.
+def key128(c: Column) -> Column:
+    """A 128-bit key of a text or of bytes; equal keys mean equal values, but for accidents of one in 10**19 even among 10**10 values."""
+    return F.unhex(F.md5(c))
+
+
+def expand(pairs: DataFrame, members: DataFrame, others: DataFrame | None = None, block: int = 256) -> DataFrame:
+    """Pairs of classes to pairs of their members.
 
     ``pairs``: ``u``, ``v`` (class ids, each pair once); ``members``:
     ``u``, ``id`` and other columns, which come out as ``x_a``, ``x_b``.
-    ``others`` holds the rows of ``v`` where they are not the same table.
-    Large classes are cut into blocks, so that a pair of large classes is
-    spread over many tasks.  The result has each pair of rows once per pair
+    ``others`` holds the members of ``v`` where they are not the same table.
+    Members are packed in arrays of about ``block``, so a pair of large
+    classes is spread over many rows, and a class in very many pairs is
+    spread by ``lookup``.  The result has each pair of members once per pair
     of classes, ``a`` from ``u`` and ``b`` from ``v``.
     """
-
-    def placed(rows: DataFrame, cls: str, x: str) -> tuple[DataFrame, DataFrame]:
-        blocks = F.ceil(F.col("_uses") / F.lit(block)).cast("int").alias(f"_m{x}")
-        sizes = rows.groupBy(F.col("u").alias(cls)).agg(F.count(F.lit(1)).alias("_uses")).select(cls, "_uses", blocks)
-        values = [F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "u"]
-        put = lookup(rows.select(F.col("u").alias(cls), "id", *values), sizes, cls, "_uses", F.xxhash64("id"))
-        return sizes.drop("_uses"), put.withColumn(f"_b{x}", F.pmod(F.xxhash64("id"), F.col(f"_m{x}")).cast("int")).drop("id", f"_m{x}")
-
-    size_a, a = placed(members, "u", "a")
-    size_b, b = placed(members if others is None else others, "v", "b")
-    spread = pairs.join(size_a, "u").join(size_b, "v")
-    spread = spread.withColumn("_ba", F.explode(F.expr("sequence(0, _ma - 1)")))
-    spread = spread.withColumn("_bb", F.explode(F.expr("sequence(0, _mb - 1)"))).select("u", "v", "_ba", "_bb")
-    return spread.join(a, ["u", "_ba"]).join(b, ["v", "_bb"]).drop("u", "v", "_ba", "_bb")
-
-
-def bucket_rows(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
-    """Pairs of rows whose texts differ but share ``key``.
-
-    ``rows``: ``id, text``; ``classes``: ``sid, text, n`` and ``key``, one row
-    per distinct text with its number of rows.  Only texts that share their key are expanded.
-    """
-    pairs = bucket_pairs(classes.select("sid", F.col(key).alias("_key")), "_key")
-    pairs = materialise(pairs.select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v")))
-    used = pairs.select("u").union(pairs.select("v")).distinct()
-    wanted = classes.select(F.col("sid").alias("u"), "text", "n").join(used, "u", "left_semi")
-    members = lookup(rows, wanted, "text", "n", F.xxhash64("id"), how="inner").select("u", "id")
-    return expand(pairs, members)
+    pairs = stored(pairs)
+    for rows, cls, other, x in ((members, "u", "v", "a"), (members if others is None else others, "v", "u", "b")):
+        uses = pairs.groupBy(F.col(cls).alias("u")).agg(F.count(F.lit(1)).alias("_uses"))
+        blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
+        sizes = materialise(rows.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).join(uses, "u").withColumn("_m", blocks))
+        item = F.struct(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "u"])
+        if sizes.agg(F.coalesce(F.max("_m"), F.lit(1))).first()[0] == 1:
+            packed = rows.join(sizes.select("u", "_uses"), "u").groupBy("u", "_uses").agg(F.collect_list(item).alias(f"_{x}"))
+            packed = packed.withColumnRenamed("u", cls)
+            pairs = lookup(pairs, packed, cls, "_uses", F.xxhash64(other), how="inner")
+        else:
+            sized = lookup(rows, sizes, "u", "_n", F.xxhash64("id"), how="inner")
+            sized = sized.withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
+            packed = sized.groupBy(F.struct("u", "_i").alias("_key"), "_uses").agg(F.collect_list(item).alias(f"_{x}"))
+            # Blocks of one class that are looked up by each of its pairs.
+            keyed = lookup(pairs, sizes.select(F.col("u").alias(cls), "_m", "_uses"), cls, "_uses", F.xxhash64(other), how="inner")
+            keyed = keyed.withColumn("_i", F.explode(F.expr("sequence(0, _m - 1)"))).withColumn("_key", F.struct(F.col(cls).alias("u"), "_i"))
+            pairs = lookup(keyed.drop("_m", "_i"), packed, "_key", "_uses", F.xxhash64(other), how="inner").drop("_key")
+        if x == "a":
+            pairs = materialise(pairs)
+    pairs = pairs.select(F.explode("_a").alias("_a"), "_b").select("_a.*", F.explode("_b").alias("_b"))
+    return pairs.select(*[c for c in pairs.columns if c != "_b"], "_b.*")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:

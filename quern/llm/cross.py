@@ -21,42 +21,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import blank, expand, ordered, rows_of
-from quern.llm.near import similar_sets, split_units
-from quern.runtime import bucket_pairs, materialise
+from quern.llm.near import FREQUENT, keyed_rows, similar_sets, units_of
+from quern.runtime import bucket_pairs, lookup, materialise
 
 TRAIN, EVAL = ("train",), ("val", "test")
 
 
-def alike_units(sets: DataFrame, units: DataFrame, threshold: float, rare_df: int) -> DataFrame:
-    """``u, v``: units that are copies, look-alikes or near-duplicates, both
-    ways round, and each unit with itself."""
-    near = similar_sets(sets, threshold, rare_df)
-    wid = units.select("wid", "u")
-    a, b = wid.toDF("sid_a", "u"), wid.toDF("sid_b", "v")
-    pairs = [near.join(a, "sid_a").join(b, "sid_b").select("u", "v")]
-    worded = wid.join(sets.where(F.size("words") > 0).select(F.col("sid").alias("wid")), "wid", "left_semi")
-    for keyed, key in ((worded, "wid"), (units, "copy"), (units, "form")):
-        pairs.append(bucket_pairs(keyed.select(key, F.col("u").alias("sid")), key).toDF("u", "v"))
-    once = pairs[0]
-    for p in pairs[1:]:
-        once = once.unionByName(p)
-    once = materialise(once.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    return once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(units.select("u", F.col("u").alias("v")))
-
-
-def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, threshold: float = 0.6, rare_df: int = 64, **more: str) -> DataFrame:
+def alike_units(sets: DataFrame, units: DataFrame, threshold: float, frequent: int) -> DataFrame:
+    """``u, v``: units that are copies, look-alikes, near-duplicates or one
+    and the same, of which ``u`` has train rows and ``v`` evaluation rows.
+
+    ``f0`` and ``f1`` of units and sets tell whether they have such rows;
+    pairs that cannot cross the splits go before anything is compared.
+    """
+    across = "f0_a and f1_b or f1_a and f0_b"
+    members = units.select(F.col("sid").alias("u"), F.col("unit").alias("id"), "f0", "f1")
+    pairs = expand(similar_sets(sets, threshold, frequent, where=across).toDF("u", "v"), members).where(across)
+    pairs = pairs.withColumnsRenamed({"id_a": "sid_a", "id_b": "sid_b"})
+    worded = units.join(sets.where(F.size("words") > 0).select("sid"), "sid", "left_semi")
+    for keyed, key in ((worded.withColumnRenamed("sid", "set"), "set"), (units, "copy"), (units, "form")):
+        pairs = pairs.unionByName(bucket_pairs(keyed.select(key, F.col("unit").alias("sid"), "f0", "f1"), key, where=across).select(*pairs.columns))
+    ways = [F.struct(F.col(f"sid_{x}").alias("u"), F.col(f"sid_{y}").alias("v"), (F.col(f"f0_{x}") & F.col(f"f1_{y}")).alias("ok")) for x, y in ("ab", "ba")]
+    both = pairs.select(F.explode(F.array(*ways)).alias("_w")).where("_w.ok").select("_w.u", "_w.v")
+    own = units.where("f0 and f1").select(F.col("unit").alias("u"), F.col("unit").alias("v"))
+    return materialise(both.unionByName(own).distinct())
+
+
+def overlaps(df: DataFrame, id_col: str, text_col: str, split_col: str, threshold: float = 0.6, frequent: int = FREQUENT, **more: str) -> DataFrame:
     """``id_a`` (train), ``id_b`` (evaluation), ``split_b`` and the columns of ``more`` as ``x_a``, ``x_b``."""
     rows = rows_of(df, id_col, text_col, split=split_col, **more)
     rows = rows.where(~blank(F.col("text")) & F.col("split").isin(*TRAIN, *EVAL))
-    sets, units, members = split_units(rows)
-    members = materialise(members)
-    pairs = alike_units(sets, units, threshold, rare_df)
+    keyed = keyed_rows(rows)
+    units, sets = units_of(keyed, F.bool_or(F.col("split").isin(*TRAIN)), F.bool_or(F.col("split").isin(*EVAL)))
+    pairs = alike_units(sets, units, threshold, frequent)
+    members = keyed.select(F.col("unit").alias("u"), "id", "split", *more)
     train, held = (members.where(F.col("split").isin(*x)) for x in (TRAIN, EVAL))
-    # Only classes that have rows on the needed side are expanded.
-    pairs = pairs.join(train.select("u").distinct(), "u", "left_semi")
-    pairs = materialise(pairs.join(held.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
-    train = train.join(pairs.select("u").distinct(), "u", "left_semi")
-    held = held.join(pairs.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
     return expand(pairs, train, held)
 
 

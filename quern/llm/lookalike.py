@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import blank, bucket_rows, ordered, rows_of
-from quern.runtime import lookup, materialise
+from quern.llm.common import blank, expand, key128, ordered, rows_of
+from quern.runtime import bucket_pairs, lookup, materialise
 
 # Letters that look like Latin ones; fixed values.
 LOOKALIKES = {
@@ -37,7 +37,8 @@ _TO_LATIN = {c: (s, l) for s, m in LOOKALIKES.items() for c, l in m.items()}
 _FROM_LATIN = {s: {l: c for c, l in m.items()} for s, m in LOOKALIKES.items() if s in ("CYRILLIC", "GREEK")}
 _SHARED = {l for _, l in _TO_LATIN.values()}
 _SAME_LOOK = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
-_INVISIBLE = re.compile("[­͏ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e0fff]")
+# Characters without a look of their own; fixed values.
+_INVISIBLE = re.compile("[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
 _TOKEN = re.compile(r"[^\W_]+")
 _PLAIN = "^[\\x09-\\x7e]*$"
 
@@ -89,8 +90,8 @@ def _dominant(text: str, scripts: list[str]) -> str:
     return max(firm, key=lambda s: (firm[s], s)) if firm else ""
 
 
-def proposals(folded: str) -> list[tuple[str, str]]:
-    """Step 2's candidates in one folded string: ``(token, repaired)``."""
+def proposals(folded: str) -> list[tuple[str, str, bool]]:
+    """Step 2's candidates in one folded string: ``(token, repaired)`` and whether the token is of mixed script."""
     if folded.isascii():
         return []
     tokens = [(t, [script(c) for c in t]) for t in _TOKEN.findall(folded)]
@@ -107,7 +108,7 @@ def proposals(folded: str) -> list[tuple[str, str]]:
         for target in dict.fromkeys(["LATIN" if "LATIN" in own or main == "LATIN" else most, most]):
             to = "".join(c if s in ("", target) else _swap(c, s, target) for c, s in zip(t, scripts))
             if to != t and "\0" not in to:
-                out.add((t, to))
+                out.add((t, to, len(own) > 1))
     return sorted(out)
 
 
@@ -116,14 +117,14 @@ def _swap(c: str, own: str, target: str) -> str:
     return latin if target == "LATIN" else _FROM_LATIN.get(target, {}).get(latin, "\0")
 
 
-_TRY = T.StructType().add("token", T.StringType()).add("repaired", T.StringType())
+_TRY = T.StructType().add("token", T.StringType()).add("repaired", T.StringType()).add("mixed", T.BooleanType())
 
 
 @F.pandas_udf(T.StructType().add("folded", T.StringType()).add("tries", T.ArrayType(_TRY)))
 def _folded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         done = [fold(t) for t in texts]
-        tries = [[{"token": a, "repaired": b} for a, b in proposals(t)] for t in done]
+        tries = [[{"token": a, "repaired": b, "mixed": m} for a, b, m in proposals(t)] for t in done]
         yield pd.DataFrame({"folded": done, "tries": tries})
 
 
@@ -137,32 +138,42 @@ def _replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series(out)
 
 
-def text_forms(texts: DataFrame) -> DataFrame:
-    """``sid, text`` (distinct texts) to ``sid, text, form``."""
-    plain = texts.where(F.col("text").rlike(_PLAIN)).select("sid", "text", F.col("text").alias("form"))
-    odd = texts.where(~F.col("text").rlike(_PLAIN)).withColumn("_f", _folded("text"))
-    odd = materialise(odd.select("sid", "text", "_f.folded", "_f.tries"))
-    tries = odd.select("sid", F.explode("tries").alias("_t")).select("sid", "_t.token", "_t.repaired")
-    spelled = tries.groupBy("token", "repaired").agg(F.count(F.lit(1)).alias("uses"))
+def row_forms(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """``rows`` (``id``, ``text`` and other columns) with ``form``, the consistent form of the text.
+
+    Rows of plain characters are their own form; only the others are looked
+    at, each distinct text once.  ``strict`` keeps to the named method: only
+    tokens of mixed script, and only results that the corpus has.
+    """
+    rows = rows.where("text is not null").withColumn("_plain", F.col("text").rlike(_PLAIN))
+    plain = rows.where("_plain").drop("_plain").withColumn("form", F.col("text"))
+    others = rows.where("not _plain").drop("_plain")
+    odd = others.groupBy("text").agg(F.min("id").alias("sid"), F.count(F.lit(1)).alias("n"))
+    odd = materialise(odd.withColumn("_f", _folded("text")).select("sid", "text", "n", "_f.folded", "_f.tries"))
+    tries = odd.select("sid", F.explode("tries").alias("_t")).select("sid", "_t.*")
+    if strict:
+        tries = tries.where("mixed")
+    spelled = materialise(tries.groupBy("token", "repaired").agg(F.count(F.lit(1)).alias("uses")))
     # A result is attested if the corpus has it as a token, or if two spellings lead to it.
-    token = F.explode(F.regexp_extract_all("form", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    everywhere = plain.select("form").unionByName(odd.select(F.col("folded").alias("form")))
-    words = everywhere.select(token.alias("repaired")).distinct()
-    twice = spelled.groupBy("repaired").agg(F.countDistinct("token").alias("k")).where("k > 1").select("repaired")
-    attested = words.unionByName(twice).distinct()
+    token = F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    words = plain.select(token.alias("repaired")).unionByName(odd.select(F.col("folded").alias("form")).select(token.alias("repaired")))
+    attested = words.join(spelled.select("repaired").distinct(), "repaired", "left_semi").distinct()
+    if not strict:
+        twice = spelled.groupBy("repaired").agg(F.countDistinct("token").alias("k")).where("k > 1").select("repaired")
+        attested = attested.unionByName(twice).distinct()
     known = spelled.join(attested, "repaired", "left_semi")
     # A token with two attested results takes the Latin one, then the smaller.
     rank = F.struct(F.col("repaired").rlike("^[\\x00-\\x{24f}]*$").cast("int"), "repaired")
     known = known.groupBy("token").agg(F.max_by("repaired", rank).alias("fix"), F.sum("uses").alias("uses"))
     fixes = lookup(tries.select("sid", "token").distinct(), known, "token", "uses", F.xxhash64("sid"), how="inner")
     fixes = fixes.groupBy("sid").agg(F.collect_list(F.struct("token", F.col("fix").alias("repaired"))).alias("fixes"))
-    done = odd.join(fixes, "sid", "left")
-    some = done.where("fixes is not null").select("sid", "text", _replaced("folded", "fixes").alias("form"))
-    none = done.where("fixes is null").select("sid", "text", F.col("folded").alias("form"))
-    return plain.unionByName(some).unionByName(none)
+    done = odd.select("sid", "text", "n", "folded").join(fixes, "sid", "left")
+    some = done.where("fixes is not null").select("text", _replaced("folded", "fixes").alias("form"), "n")
+    none = done.where("fixes is null").select("text", F.col("folded").alias("form"), "n")
+    return plain.unionByName(lookup(others, some.unionByName(none), "text", "n", F.xxhash64("id"), how="inner"))
 
 
-def consistent(df: DataFrame, id_col: str = "id", text_col: str = "sentence") -> DataFrame:
+def consistent(df: DataFrame, id_col: str = "id", text_col: str = "sentence", strict: bool = False) -> DataFrame:
     """Every row's consistent form: ``id, text, form``.
 
     Null gives null, empty and blank text keep their spaces as plain ones.
@@ -170,14 +181,17 @@ def consistent(df: DataFrame, id_col: str = "id", text_col: str = "sentence") ->
     Text of any length is handled whole.
     """
     rows = rows_of(df, id_col, text_col)
-    texts = materialise(rows.where("text is not null").groupBy("text").agg(F.min("id").alias("sid"), F.count(F.lit(1)).alias("n")))
-    forms = text_forms(texts.select("sid", "text")).join(texts.select("sid", "n"), "sid").select("text", "form", "n")
-    return lookup(rows, forms, "text", "n", F.xxhash64("id"))
+    empty = rows.where("text is null").withColumn("form", F.lit(None).cast("string"))
+    return row_forms(rows, strict).select("id", "text", "form").unionByName(empty)
 
 
-def found(df: DataFrame, id_col: str = "id", text_col: str = "sentence") -> DataFrame:
+def found(df: DataFrame, id_col: str = "id", text_col: str = "sentence", strict: bool = False) -> DataFrame:
     """``id_a, id_b``: rows with different strings of one form."""
     rows = rows_of(df, id_col, text_col).where(~blank(F.col("text")))
-    texts = materialise(rows.groupBy("text").agg(F.min("id").alias("sid"), F.count(F.lit(1)).alias("n")))
-    forms = materialise(text_forms(texts.select("sid", "text")).join(texts.select("sid", "n"), "sid").select("sid", "form", "text", "n"))
-    return ordered(bucket_rows(rows, forms, "form"))
+    keyed = materialise(row_forms(rows, strict).select("id", key128(F.col("text")).alias("text"), key128(F.col("form")).alias("form")))
+    # Few forms have more than one string; only those are looked at further.
+    shared = keyed.groupBy("form").agg(F.min("text").alias("_a"), F.max("text").alias("_b"), F.count(F.lit(1)).alias("n")).where("_a <> _b")
+    used = materialise(lookup(keyed, shared.select("form", "n", F.lit(True).alias("used")), "form", "n", F.xxhash64("id"), how="inner"))
+    texts = used.select("form", F.col("text").alias("sid")).distinct()
+    pairs = bucket_pairs(texts, "form").select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v"))
+    return ordered(expand(pairs, used.select(F.col("text").alias("u"), "id")))

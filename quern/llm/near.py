@@ -1,208 +1,208 @@
 """Near-duplicates by word-set similarity, with PartEnum signatures.
 
-Two sets with Jaccard similarity of at least t differ in at most
-``k = floor((1 - t) / (1 + t) * (|x| + |y|))`` elements.  PartEnum cuts the
-feature domain into parts and gives every set one signature for each subset
-of parts that must agree in at least one case when at most k elements
-differ; similar sets then share a signature.  With common words the plain
-scheme gives huge buckets, so the domain is first cut by frequency:
-
-* words of at most ``rare_df`` distinct sets are parts of their own.  A pair
-  that shares one meets there; such a bucket holds at most ``rare_df`` sets.
-* a pair that shares none agrees in common words only.  If x has r rare
-  words and y has q, their common parts differ in at most k - r - q words,
-  which leaves few pairs of sizes, each with its exact distance h.  For each
-  (smaller size, larger size, h) PartEnum runs over the common words: part
-  sums of ``n1`` hash parts of ``n2`` sub-parts, all subsets of ``n2 - k2``
-  of them, where ``k2 = ceil((h + 1) / n1) - 1``.
-
-Both cases together are complete; candidates are verified on the words
-themselves.  Overfull buckets are joined in blocks, never cut short.
+PartEnum cuts the feature domain into parts, and gives every set one
+signature for each subset of parts that must agree in at least one case if
+two sets of a band of sizes are similar; similar sets then share a signature.
+
+Parts that are cut by hash do not work for a similarity as low as 0.6: a pair
+may differ in half of its words, so the subsets that are sure to agree are
+mostly empty or hold common words only.  Here the domain is cut in the order
+of frequency: the rarest word comes first, and every word is a part by itself.
+
+* Sizes lie in bands that grow by 1 / t, so similar sets lie in one band or
+  in neighbouring ones.  Each pair of bands is a tag of its own.
+* Two sets of sizes a and b with Jaccard similarity of at least t agree in at
+  least ``c = ceil(t / (1 + t) * (a + b))`` parts.  Of those the ``g`` rarest
+  lie among the first ``a - c + g`` parts of the one and the first
+  ``b - c + g`` of the other: c - g shared parts must still follow.
+* So a set has a signature for each ``g``-subset of its first ``a - c + g``
+  parts, where c is the least for its size and the other band.
+
+Every similar pair shares a signature, whatever the data; candidates are
+compared on their words.  Overfull buckets are joined in blocks, never cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import ceil, floor
+from functools import lru_cache
+from itertools import combinations, count
+from math import ceil, floor, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import blank, expand, letters, ordered, rows_of, word_list
-from quern.llm.lookalike import text_forms
+from quern.llm.common import blank, expand, key128, letters, ordered, rows_of, word_list
+from quern.llm.lookalike import row_forms
 from quern.runtime import bucket_pairs, lookup, materialise
 
-#: Sets of more common words than this use bands of sizes instead of exact sizes.
-EXACT_SIZES = 48
-#: Growth of those bands.
-BAND = 1.12
-_MASK = (1 << 64) - 1
+#: Parts in a signature.
+SUBSET = 2
+#: At most so many words are known by their frequency (any word with more than
+#: this share of all occurrences is); the order of the others is that of a hash.
+FREQUENT = 2_000
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-_SCHEMES: dict[int, tuple[int, int, tuple[tuple[int, ...], ...]]] = {0: (1, 1, ((0,),))}
+def band(size: int, t: float) -> int:
+    """The band of a size; bands grow by 1 / t."""
+    return floor(log(size) / -log(t) + 1e-9)
 
 
-def scheme(h: int) -> tuple[int, int, tuple[tuple[int, ...], ...]]:
-    """``n1, n2`` and the subsets of sub-parts for at most h differences."""
-    if h in _SCHEMES:
-        return _SCHEMES[h]
-    if h <= 3:
-        n1, n2 = 1, h + 2
-    else:
-        n1, n2 = ceil((h + 1) / 3), 6
-    k2 = ceil((h + 1) / n1) - 1
-    _SCHEMES[h] = n1, n2, tuple(combinations(range(n2), n2 - k2))
-    return _SCHEMES[h]
+def overlap(a: int, b: int, t: float) -> int:
+    """The least number of shared elements of similar sets of these sizes."""
+    return ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def _mix(x: int) -> int:
-    x = (x ^ (x >> 31)) * 0x9E3779B97F4A7C15 & _MASK
-    x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _MASK
-    return x ^ (x >> 32)
-
+@lru_cache(maxsize=4096)
+def plan(size: int, t: float) -> tuple[tuple[int, int, int], ...]:
+    """``tag, g, prefix`` of a set of that size: which subsets of which parts it enumerates."""
+    out = []
+    for other in range(band(max(1, ceil(t * size - 1e-9)), t), band(floor(size / t + 1e-9), t) + 1):
+        own = band(size, t)
+        sizes = [x for x in range(max(1, ceil(t * size - 1e-9)), floor(size / t + 1e-9) + 1) if band(x, t) == other]
+        least = min((overlap(size, x, t) for x in sizes), default=0)
+        if least:
+            lo, hi = min(own, other), max(own, other)
+            # Both sides must enumerate subsets of one size: as the smallest sets of the two bands allow.
+            first = lambda i: next(x for x in count(max(1, floor(t**-i) - 1)) if band(x, t) >= i)
+            g = min(SUBSET, max(1, overlap(first(lo), first(hi), t)))
+            out.append((lo * 1_000_003 + hi, g, min(size, size - least + g)))
+    return tuple(out)
 
-def _tags(c: int, rare: int, size: int, t: float) -> Iterator[tuple[int, int, int]]:
-    """(smaller size, larger size, h) that a pair without a shared rare word can have."""
-    f = (1 - t) / (1 + t)
-    if c <= EXACT_SIZES:
-        for other in range(max(1, ceil(t * c - 1e-9)), min(EXACT_SIZES, floor(c / t + 1e-9)) + 1):
-            # The other set has at least ``other`` words in all, and none of ours among its rare ones.
-            most = floor(f * (size + other) + 1e-9) - rare
-            for h in range(abs(c - other), most + 1, 2):
-                yield min(c, other), max(c, other), h
 
+@lru_cache(maxsize=4096)
+def _subsets(prefix: int, g: int) -> np.ndarray:
+    return np.array(list(combinations(range(prefix), g)), np.int64).reshape(-1, g).T
 
-def _band(c: int) -> int:
-    return floor(np.log(c / EXACT_SIZES) / np.log(BAND)) + 1 if c > EXACT_SIZES else 0
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M1
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return x ^ (x >> np.uint64(32))
 
-def _band_top(i: int) -> int:
-    return ceil(EXACT_SIZES * BAND**i)
 
+def signatures(sets: list[np.ndarray], t: float, frequent: np.ndarray) -> list[np.ndarray]:
+    """Signed 64-bit signatures of sets of hashed words (``int64``).
 
-def _band_tags(c: int, t: float) -> Iterator[tuple[int, int, int]]:
-    """The same by bands, for sets that may meet one above ``EXACT_SIZES``."""
-    f, own = (1 - t) / (1 + t), _band(c)
-    for other in range(_band(max(1, ceil(t * c - 1e-9))), _band(floor(c / t + 1e-9)) + 1):
-        if own or other:
-            lo, hi = min(own, other), max(own, other)
-            # Negative, so that bands and sizes never mix.
-            yield -1 - lo, -1 - hi, floor(f * (_band_top(lo) + _band_top(hi)) + 1e-9)
-
-
-def signatures(words: list[int], rare: int, t: float) -> list[int]:
-    """Signed 64-bit signatures of the hashed common words of one set."""
-    c, sums, out = len(words), {}, set()
-    for lo, hi, h in [*_tags(c, rare, c + rare, t), *_band_tags(c, t)]:
-        n1, n2, subsets = scheme(h)
-        if (n1, n2) not in sums:
-            part = [0] * (n1 * n2)
-            for w in words:
-                part[(w >> 20) % (n1 * n2)] += w
-            sums[n1, n2] = part
-        part = sums[n1, n2]
-        tag = _mix((lo * 1_000_003 + hi) * 1_000_003 + h & _MASK)
-        for i in range(n1):
-            at = i * n2
-            for j, s in enumerate(subsets):
-                total = sum(part[at + x] for x in s) & _MASK
-                out.add(_mix(tag + _mix(total + (i << 40) + (j << 20)) & _MASK))
-    return [x - (1 << 64) if x >> 63 else x for x in out]
-
-
-def _signed(t: float):  # noqa: ANN202
-    kind = T.ArrayType(T.LongType())
-
-    @F.pandas_udf(kind)
-    def sign(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for words, rare in batches:
-            yield pd.Series([signatures([_mix(int(w) & _MASK) for w in x], int(r), t) for x, r in zip(words, rare)])
+    ``frequent``: the hashes of the frequent words, the most frequent last.
+    """
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sets)
+    order = np.argsort(frequent, kind="stable")
+    known = frequent[order]
+    sizes = np.fromiter((len(x) for x in sets), np.int64, len(sets))
+    with np.errstate(over="ignore"):
+        for size in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == size)
+            words = np.stack([sets[i] for i in at])
+            if len(known):
+                near = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                rank = np.where(known[near] == words, order[near] + 1, 0)
+            else:
+                rank = np.zeros(words.shape, np.int64)
+            words = np.take_along_axis(words, np.lexsort((words, rank), axis=-1), axis=-1).view(np.uint64)
+            signed = []
+            for tag, g, prefix in plan(int(size), t):
+                total = np.full((len(at), 1), _mix(np.array([tag + 1], np.uint64))[0], np.uint64)
+                for places in _subsets(prefix, g):
+                    total = _mix(total * _M1 + words[:, places])
+                signed.append(total)
+            if signed:
+                both = np.concatenate(signed, axis=1).view(np.int64)
+                for i, row in zip(at, both):
+                    out[i] = row
+    return out
+
+
+def _signed(t: float, frequent: list[int]):  # noqa: ANN202
+    known = np.array(frequent, np.int64)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for sets in batches:
+            yield pd.Series(signatures([np.asarray(x, np.int64) for x in sets], t, known))
 
     return sign
 
 
-def similar_sets(sets: DataFrame, threshold: float = 0.6, rare_df: int = 64) -> DataFrame:
+def hashed_words(text: Column) -> Column:
+    """The distinct words of a text as sorted 64-bit hashes."""
+    return F.array_sort(F.transform(F.array_distinct(word_list(text)), lambda w: F.xxhash64(w)))
+
+
+def _bits(words: Column) -> Column:
+    """64 bits that tell which hashed words a set has."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", one, F.pmod(w, F.lit(64)).cast("int"))))
+
+
+def similar_sets(sets: DataFrame, threshold: float = 0.6, frequent: int = FREQUENT, where: str = "true") -> DataFrame:
     """``sid_a, sid_b`` of all pairs of sets with Jaccard >= ``threshold``.
 
-    ``sets``: ``sid``, ``words`` (distinct strings); equal sets should be one
+    ``sets``: ``sid``, ``words`` (distinct 64-bit hashes) and columns on which
+    ``where`` is a condition, as ``x_a`` and ``x_b``; equal sets should be one
     row.  Empty sets have no pairs.  Exact: see the module's text.
     """
-    f = (1 - threshold) / (1 + threshold)
     sets = sets.where(F.size("words") > 0)
-    long = sets.select("sid", F.size("words").alias("size"), F.explode("words").alias("word"))
-    df = long.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    common = df.where(F.col("df") > rare_df).select("word", "df", F.lit(True).alias("common"))
-    marked = lookup(long, common, "word", "df", F.xxhash64("sid"))
-    marked = materialise(marked.select("sid", "size", "word", F.coalesce("common", F.lit(False)).alias("common")))
-    # Case 1: one shared rare word.  By the length filter no pair of sizes is tried in vain.
-    close = F.col("size_a") >= F.lit(threshold) * F.col("size_b")
-    close &= F.col("size_b") >= F.lit(threshold) * F.col("size_a")
-    rare = bucket_pairs(marked.where("not common").select("word", "sid", "size"), "word", block=2 * rare_df)
-    one = rare.where(close).select("sid_a", "sid_b")
-    # Case 2: no shared rare word, so both need enough common ones.
-    parts = marked.groupBy("sid", "size").agg(
-        F.collect_list(F.when(F.col("common"), F.xxhash64("word"))).alias("hashes"),
-    )
-    parts = parts.withColumn("rare", F.col("size") - F.size("hashes"))
-    parts = parts.where(F.size("hashes") >= F.ceil(F.lit(threshold) * F.col("size") - 1e-9))
-    signed = parts.select("sid", "size", "rare", F.explode(_signed(threshold)("hashes", "rare")).alias("sig"))
-    allowed = F.floor(F.lit(f) * (F.col("size_a") + F.col("size_b")) + 1e-9)
-    many = bucket_pairs(signed, "sig").where(close & (F.col("rare_a") + F.col("rare_b") <= allowed))
-    pairs = one.unionByName(many.select("sid_a", "sid_b")).distinct()
-    a = sets.select(F.col("sid").alias("sid_a"), F.col("words").alias("_a"))
-    b = sets.select(F.col("sid").alias("sid_b"), F.col("words").alias("_b"))
-    both = pairs.join(a, "sid_a").join(b, "sid_b")
+    more = [c for c in sets.columns if c not in ("sid", "words")]
+    uses = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    total = sets.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    # Fewer than ``frequent`` words can have more than that share of all occurrences.
+    known = [r["word"] for r in uses.where(F.col("df") * F.lit(frequent) > F.lit(total)).orderBy("df", "word").collect()]
+    signed = sets.select(F.explode(_signed(threshold, known)("words")).alias("sig"), "sid", F.size("words").alias("size"), _bits(F.col("words")).alias("bits"), *more)
+    # Sets of a and b words with an overlap of c differ in a + b - 2 c of them, and in no more of the bits.
+    t = F.lit(threshold)
+    differ = F.col("size_a") + F.col("size_b") - 2 * F.ceil(t / (1 + t) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    close = (F.col("size_a") >= t * F.col("size_b") - 1e-9) & (F.col("size_b") >= t * F.col("size_a") - 1e-9)
+    close &= F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= differ
+    pairs = bucket_pairs(signed, "sig", where=where).where(close).select("sid_a", "sid_b").distinct()
+    return verified(materialise(pairs), sets, threshold)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``sid_a, sid_b`` with Jaccard >= ``threshold``; a set in very many pairs is spread."""
+    for x, other in (("a", "b"), ("b", "a")):
+        uses = pairs.groupBy(F.col(f"sid_{x}").alias("sid")).agg(F.count(F.lit(1)).alias("uses"))
+        table = sets.select("sid", F.col("words").alias(f"_{x}")).join(uses, "sid").withColumnRenamed("sid", f"sid_{x}")
+        pairs = lookup(pairs, table, f"sid_{x}", "uses", F.xxhash64(f"sid_{other}"), how="inner")
     shared = F.size(F.array_intersect("_a", "_b"))
-    return both.where(shared >= F.lit(threshold - 1e-9) * (F.size("_a") + F.size("_b") - shared)).select("sid_a", "sid_b")
+    return pairs.where(shared >= F.lit(threshold - 1e-9) * (F.size("_a") + F.size("_b") - shared)).select("sid_a", "sid_b")
 
 
-def split_units(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct word sets, the units of rows that are alike for P1, P3 and words, and the rows of units.
+def keyed_rows(rows: DataFrame) -> DataFrame:
+    """``id, unit, wid, copy, form, words`` and the other columns of ``rows``, materialised.
 
-    ``sets(sid, words)``, ``units(u, wid, copy, form)``, ``members(u, id, ...)``.
+    ``wid`` (words), ``copy`` (pieces) and ``form`` (consistent form) are 128-bit keys
+    of what must be equal, ``unit`` of all three together, so that no table of
+    numbers is needed; ``words`` are the hashed words.
     """
-    extra = [c for c in rows.columns if c not in ("id", "text")]
-    texts = materialise(rows.groupBy("text").agg(F.min("id").alias("sid"), F.count(F.lit(1)).alias("n")))
+    more = [c for c in rows.columns if c not in ("id", "text")]
     pieces = F.array_sort(F.filter(F.transform(F.split("text", "[,;]"), letters), lambda x: x != ""))
-    forms = text_forms(texts.select("sid", "text"))
-    keyed = forms.select(
-        "sid", "text", F.array_sort(F.array_distinct(word_list(F.col("text")))).alias("words"),
-        F.sha2(F.to_json(pieces), 256).alias("copy"), F.sha2("form", 256).alias("form"),
+    keyed = row_forms(rows).select(
+        "id", *more, key128(F.array_join(F.array_sort(F.array_distinct(word_list(F.col("text")))), " ")).alias("wid"),
+        key128(F.array_join(pieces, " ")).alias("copy"), key128(F.col("form")).alias("form"), hashed_words(F.col("text")).alias("words"),
     )
-    keyed = materialise(keyed.join(texts.select("sid", "n"), "sid"))
-    sets = keyed.groupBy("words").agg(F.min("sid").alias("wid"), F.count(F.lit(1)).alias("n"))
-    sets = materialise(sets)
-    named = lookup(keyed.select("sid", "text", "words", "copy", "form", F.col("n").alias("uses")), sets, "words", "n", F.xxhash64("sid"))
-    named = named.withColumn("unit", F.concat_ws(" ", "wid", "copy", "form"))
-    units = materialise(named.groupBy("unit", "wid", "copy", "form").agg(F.min("sid").alias("u"), F.count(F.lit(1)).alias("ways")))
-    texts_of = lookup(named, units.select("unit", "u", "ways"), "unit", "ways", F.xxhash64("sid")).select("text", "u", "uses")
-    units = units.select("wid", "copy", "form", "u")
-    members = lookup(rows, texts_of, "text", "uses", F.xxhash64("id")).select("u", "id", *extra)
-    return sets.select(F.col("wid").alias("sid"), "words"), units, members
-
-
-def unit_pairs(sets: DataFrame, units: DataFrame, threshold: float, rare_df: int) -> DataFrame:
-    """``u, v``: units that are near-duplicates but neither copies nor look-alikes."""
-    pairs = similar_sets(sets, threshold, rare_df).select(F.col("sid_a").alias("wid_a"), F.col("sid_b").alias("wid_b"))
-    a = units.select(*[F.col(c).alias(f"{c}_a") for c in units.columns])
-    b = units.select(*[F.col(c).alias(f"{c}_b") for c in units.columns])
-    differ = "copy_a <> copy_b and form_a <> form_b"
-    across = pairs.join(a, "wid_a").join(b, "wid_b").where(differ).select(F.col("u_a").alias("u"), F.col("u_b").alias("v"))
-    full = units.join(sets.where(F.size("words") > 0).select(F.col("sid").alias("wid")), "wid", "left_semi")
-    within = bucket_pairs(full.select("wid", F.col("u").alias("sid"), "copy", "form"), "wid").where(differ)
-    return materialise(across.unionByName(within.select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v"))))
+    return materialise(keyed.select("id", key128(F.concat("wid", "copy", "form")).alias("unit"), "wid", "copy", "form", "words", *more))
 
 
-def _used(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    used = pairs.select("u").union(pairs.select("v")).distinct()
-    return materialise(members.join(used, "u", "left_semi"))
+def units_of(keyed: DataFrame, *flags: Column) -> tuple[DataFrame, DataFrame]:
+    """``unit, sid, copy, form`` and ``sid, words`` of keyed rows, with ``flags``: aggregates of rows that both get.
+
+    ``sid`` is the smallest row with a set of words.
+    """
+    names = [f"f{i}" for i in range(len(flags))]
+    per = [f.alias(n) for f, n in zip(flags, names)]
+    units = materialise(keyed.groupBy("unit", "wid", "copy", "form").agg(F.min("id").alias("first"), F.any_value("words").alias("words"), *per))
+    all_ = [F.bool_or(n).alias(n) for n in names]
+    sets = materialise(units.groupBy("wid").agg(F.min("first").alias("sid"), F.any_value("words").alias("words"), F.count(F.lit(1)).alias("n_units"), *all_))
+    units = lookup(units.select("unit", "wid", "copy", "form", *names), sets.select("wid", "sid", "n_units"), "wid", "n_units", F.xxhash64("unit"), how="inner")
+    return materialise(units.drop("wid")), sets.select("sid", "words", *names)
 
 
-def found(df: DataFrame, id_col: str = "id", text_col: str = "sentence", threshold: float = 0.6, rare_df: int = 64) -> DataFrame:
+def found(df: DataFrame, id_col: str = "id", text_col: str = "sentence", threshold: float = 0.6, frequent: int = FREQUENT) -> DataFrame:
     """``id_a, id_b``: all pairs of rows with word-set Jaccard >= ``threshold``
     that are neither copies (``copies``) nor look-alikes (``lookalike``).
 
@@ -210,21 +210,28 @@ def found(df: DataFrame, id_col: str = "id", text_col: str = "sentence", thresho
     are there twice count once.
     """
     rows = rows_of(df, id_col, text_col).where(~blank(F.col("text")))
-    sets, units, members = split_units(rows)
-    pairs = unit_pairs(sets, units, threshold, rare_df)
-    return ordered(expand(pairs, _used(pairs, members)))
+    keyed = keyed_rows(rows)
+    units, sets = units_of(keyed)
+    differ = "copy_a <> copy_b and form_a <> form_b"
+    members = units.select(F.col("sid").alias("u"), F.col("unit").alias("id"), "copy", "form")
+    across = expand(similar_sets(sets, threshold, frequent).toDF("u", "v"), members).where(differ).select("id_a", "id_b")
+    worded = units.join(sets.where(F.size("words") > 0).select("sid"), "sid", "left_semi")
+    within = bucket_pairs(worded.select(F.col("sid").alias("set"), F.col("unit").alias("sid"), "copy", "form"), "set", where=differ)
+    pairs = across.unionByName(within.select(F.col("sid_a").alias("id_a"), F.col("sid_b").alias("id_b")))
+    return ordered(expand(materialise(pairs.toDF("u", "v")), keyed.select(F.col("unit").alias("u"), "id")))
 
 
-def groups(df: DataFrame, id_col: str = "id", text_col: str = "sentence", threshold: float = 0.6, rare_df: int = 64) -> DataFrame:
+def groups(df: DataFrame, id_col: str = "id", text_col: str = "sentence", threshold: float = 0.6, frequent: int = FREQUENT) -> DataFrame:
     """``id, class_id, n_links``: a row for every non-blank row.
 
     A class is the set of rows with one set of words; ``class_id`` is its
     smallest id and ``n_links`` the number of other classes it is similar to.
     """
     rows = rows_of(df, id_col, text_col).where(~blank(F.col("text")))
-    texts = rows.select("id", "text", F.array_sort(F.array_distinct(word_list(F.col("text")))).alias("words"))
-    sets = materialise(texts.groupBy("words").agg(F.min("id").alias("sid"), F.count(F.lit(1)).alias("n")))
-    pairs = similar_sets(sets.select("sid", "words"), threshold, rare_df)
+    wid = key128(F.array_join(F.array_sort(F.array_distinct(word_list(F.col("text")))), " "))
+    texts = materialise(rows.select("id", wid.alias("wid"), hashed_words(F.col("text")).alias("words")))
+    sets = materialise(texts.groupBy("wid").agg(F.min("id").alias("sid"), F.any_value("words").alias("words"), F.count(F.lit(1)).alias("n")))
+    pairs = similar_sets(sets.select("sid", "words"), threshold, frequent)
     links = pairs.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
-    classes = sets.join(links, "sid", "left").select("words", "n", F.col("sid").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
-    return lookup(texts.select("id", "words"), classes, "words", "n", F.xxhash64("id")).select("id", "class_id", "n_links")
+    classes = sets.join(links, "sid", "left").select("wid", "n", F.col("sid").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
+    return lookup(texts.select("id", "wid"), classes, "wid", "n", F.xxhash64("id")).select("id", "class_id", "n_links")

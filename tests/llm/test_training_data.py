@@ -89,19 +89,25 @@ def test_empty_and_null_tables(spark, f):
 # -- 2 near-duplicates -------------------------------------------------------------
 
 
-def test_signatures_meet_for_all_similar_sets():
-    """PartEnum alone: two sets within the distance share a signature."""
-    rng = random.Random(3)
+@pytest.mark.parametrize("t", [0.3, 0.6, 0.8, 0.95])
+def test_signatures_meet_for_all_similar_sets(t):
+    """PartEnum alone: any two similar sets share a signature, whichever words are frequent."""
+    rng = np.random.default_rng(3)
+    met = 0
     for _ in range(400):
-        base = [near._mix(rng.getrandbits(64)) for _ in range(rng.randint(2, 60))]
-        a = set(base)
-        b = set(base) - set(rng.sample(base, rng.randint(0, len(base) // 4))) | {near._mix(rng.getrandbits(64)) for _ in range(rng.randint(0, len(base) // 6))}
-        if jaccard(a, b) >= 0.6:
-            assert set(near.signatures(list(a), 0, 0.6)) & set(near.signatures(list(b), 0, 0.6))
-
-
-@pytest.mark.parametrize("rare_df", [1, 3, 64])
-def test_near_matches_brute_force(spark, rare_df):
+        base = rng.integers(-(2**60), 2**60, rng.integers(1, 60))
+        a, kept = np.unique(base), np.unique(base)[rng.random(len(np.unique(base))) > rng.random() / 2]
+        b = np.unique(np.concatenate([kept, rng.integers(-(2**60), 2**60, rng.integers(0, 4))]))
+        frequent = rng.permutation(base)[: rng.integers(0, len(base) + 1)]
+        x, y = near.signatures([a, b], t, frequent)
+        if len(b) and jaccard(set(a), set(b)) >= t:
+            met += 1
+            assert set(x) & set(y)
+    assert met > 20
+
+
+@pytest.mark.parametrize("frequent", [2, 20, 2000])
+def test_near_matches_brute_force(spark, frequent):
     rng = random.Random(7)
     vocab = ["cup", "cups", "of", "red", "onion", "from", "brand", "chopped", "2", "3", "with", "style"]
     base = [[*rng.sample(vocab, rng.randint(1, 7)), *(f"name{rng.randint(0, 12)}" for _ in range(rng.randint(0, 3)))] for _ in range(40)]
@@ -118,12 +124,12 @@ def test_near_matches_brute_force(spark, rare_df):
     form = {r.id: r.form for r in lookalike.consistent(df).collect()}
     real = [(i, s) for i, s in enumerate(sents, 1) if s and s.strip()]
     want = {(i, j) for (i, a), (j, b) in combinations(real, 2) if jaccard(words(a), words(b)) >= 0.6 and piece_key(a) != piece_key(b) and form[i] != form[j]}
-    assert pairs(near.found(df, rare_df=rare_df)) == want and len(want) > 50
+    assert pairs(near.found(df, frequent=frequent)) == want and len(want) > 50
     classes: dict = {}
     for i, s in real:
         classes.setdefault(words(s), i)
     links = {c: sum(1 for o in classes if o != c and jaccard(c, o) >= 0.6) for c in classes}
-    got = {r.id: (r.class_id, r.n_links) for r in near.groups(df, rare_df=rare_df).collect()}
+    got = {r.id: (r.class_id, r.n_links) for r in near.groups(df, frequent=frequent).collect()}
     assert got == {i: (classes[words(s)], links[words(s)]) for i, s in real}
 
 
@@ -146,6 +152,13 @@ def test_repair_needs_the_vocabulary(spark):
     assert two[3] == "a onion" and two[1] == "crисp onion bread"
 
 
+def test_strict_forms_change_mixed_tokens_with_a_corpus_word_only(spark):
+    s = ["one cup onion", "оne cup onion", "one сuр onion", "fresh тор salt", "fresh тоp salt", "crisp bread", "crisр Ьread"]
+    form = {r.id: r.form for r in lookalike.consistent(rows(spark, s), strict=True).collect()}
+    # A wholly foreign token stays, and so does a mixed one whose result is no corpus word.
+    assert form[2] == form[3] == "one cup onion" and form[4] == s[3] and form[5] == s[4] and form[7] == "crisp Ьread"
+
+
 @given(st.text(max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_fold_is_stable(text):
