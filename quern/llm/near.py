@@ -128,9 +128,11 @@ def _signed(t: float, frequent: list[int]):  # noqa: ANN202
     return sign
 
 
-def hashed_words(text: Column) -> Column:
-    """The distinct words of a text as sorted 64-bit hashes."""
-    return F.array_sort(F.transform(F.array_distinct(word_list(text)), lambda w: F.xxhash64(w)))
+def word_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``wid``, the key of the distinct words of ``text``, and ``words``, their sorted 64-bit hashes."""
+    rows = rows.withColumn("_w", F.array_sort(F.array_distinct(word_list(F.col("text")))))
+    rows = rows.withColumn("wid", key128(F.array_join("_w", " ")))
+    return rows.withColumn("words", F.array_sort(F.transform("_w", lambda w: F.xxhash64(w)))).drop("_w")
 
 
 def _bits(words: Column) -> Column:
@@ -152,7 +154,8 @@ def similar_sets(sets: DataFrame, threshold: float = 0.6, frequent: int = FREQUE
     total = sets.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     # Fewer than ``frequent`` words can have more than that share of all occurrences.
     known = [r["word"] for r in uses.where(F.col("df") * F.lit(frequent) > F.lit(total)).orderBy("df", "word").collect()]
-    signed = sets.select(F.explode(_signed(threshold, known)("words")).alias("sig"), "sid", F.size("words").alias("size"), _bits(F.col("words")).alias("bits"), *more)
+    signed = sets.select("sid", F.size("words").alias("size"), _bits(F.col("words")).alias("bits"), *more, _signed(threshold, known)("words").alias("sigs"))
+    signed = signed.select(F.explode("sigs").alias("sig"), "sid", "size", "bits", *more)
     # Sets of a and b words with an overlap of c differ in a + b - 2 c of them, and in no more of the bits.
     t = F.lit(threshold)
     differ = F.col("size_a") + F.col("size_b") - 2 * F.ceil(t / (1 + t) * (F.col("size_a") + F.col("size_b")) - 1e-9)
@@ -181,10 +184,7 @@ def keyed_rows(rows: DataFrame) -> DataFrame:
     """
     more = [c for c in rows.columns if c not in ("id", "text")]
     pieces = F.array_sort(F.filter(F.transform(F.split("text", "[,;]"), letters), lambda x: x != ""))
-    keyed = row_forms(rows).select(
-        "id", *more, key128(F.array_join(F.array_sort(F.array_distinct(word_list(F.col("text")))), " ")).alias("wid"),
-        key128(F.array_join(pieces, " ")).alias("copy"), key128(F.col("form")).alias("form"), hashed_words(F.col("text")).alias("words"),
-    )
+    keyed = word_keys(row_forms(rows)).select("id", *more, "wid", key128(F.array_join(pieces, " ")).alias("copy"), key128(F.col("form")).alias("form"), "words")
     return materialise(keyed.select("id", key128(F.concat("wid", "copy", "form")).alias("unit"), "wid", "copy", "form", "words", *more))
 
 
@@ -228,8 +228,7 @@ def groups(df: DataFrame, id_col: str = "id", text_col: str = "sentence", thresh
     smallest id and ``n_links`` the number of other classes it is similar to.
     """
     rows = rows_of(df, id_col, text_col).where(~blank(F.col("text")))
-    wid = key128(F.array_join(F.array_sort(F.array_distinct(word_list(F.col("text")))), " "))
-    texts = materialise(rows.select("id", wid.alias("wid"), hashed_words(F.col("text")).alias("words")))
+    texts = materialise(word_keys(rows).select("id", "wid", "words"))
     sets = materialise(texts.groupBy("wid").agg(F.min("id").alias("sid"), F.any_value("words").alias("words"), F.count(F.lit(1)).alias("n")))
     pairs = similar_sets(sets.select("sid", "words"), threshold, frequent)
     links = pairs.select(F.explode(F.array("sid_a", "sid_b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))

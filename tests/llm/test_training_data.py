@@ -155,8 +155,8 @@ def test_repair_needs_the_vocabulary(spark):
 def test_strict_forms_change_mixed_tokens_with_a_corpus_word_only(spark):
     s = ["one cup onion", "оne cup onion", "one сuр onion", "fresh тор salt", "fresh тоp salt", "crisp bread", "crisр Ьread"]
     form = {r.id: r.form for r in lookalike.consistent(rows(spark, s), strict=True).collect()}
-    # A wholly foreign token stays, and so does a mixed one whose result is no corpus word.
-    assert form[2] == form[3] == "one cup onion" and form[4] == s[3] and form[5] == s[4] and form[7] == "crisp Ьread"
+    # A wholly foreign token stays, and so does a mixed one whose result is no corpus word; a token goes to its dominant script.
+    assert form[2] == form[3] == "one cup onion" and form[4] == form[5] == s[3] and form[7] == "crisp Ьread"
 
 
 @given(st.text(max_size=40))
