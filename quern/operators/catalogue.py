@@ -216,8 +216,17 @@ def match(names: DataFrame, foods: DataFrame, vectors: DataFrame, overrides: Dat
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stems of an array of tokens."""
+    known: dict[str, str] = {}
+
+    def stem(t: str) -> str:
+        if t not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[t] = porter(t)
+        return known[t]
+
     for s in batches:
-        yield s.map(lambda ts: None if ts is None else [porter(t) for t in ts])
+        yield s.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 
 
 def food_url(fdc_id: Column) -> Column:

@@ -13,7 +13,7 @@ from quern.functions import tokens as tk
 from quern.functions import vocab
 from quern.operators import assemble, catalogue, clusters, crf, evaluation, experiments, features, quality, quantities, spans, structure
 from quern.plans import parse
-from quern.runtime import materialise
+from quern.runtime import materialise, widened
 from quern.sources import io
 from quern.streaming import live
 
@@ -34,7 +34,7 @@ def table(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def rows(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "training_rows")
+    return widened(table(s, d, "training_rows"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:

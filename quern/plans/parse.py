@@ -6,26 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.vocab import LABELS
-from quern.operators import assemble, catalogue, crf, features, structure
+from quern.operators import assemble, catalogue, crf, features, structure, tagger
+from quern.runtime import materialise, with_values
 
 
-def labelled(df: DataFrame, id_col: str, sentence_col: str, state_w: DataFrame, trans_w: DataFrame, tags: DataFrame | None = None, labels: list[str] = LABELS, expect_name: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The token table, and ``sent_id, labels, scores, marginals`` per sentence."""
-    tokens = structure.token_flags(features.context(features.token_table(df, id_col, sentence_col, tags)))
-    decoded = crf.tag(features.attributes(features.feature_maps(tokens)), state_w, trans_w, labels)
-    return tokens, crf.guess_names(decoded, labels) if expect_name else decoded
+def labelled(df: DataFrame, id_col: str, sentence_col: str, state_w: DataFrame, trans_w: DataFrame, tags: DataFrame | None = None, labels: list[str] = LABELS, expect_name: bool = True) -> DataFrame:
+    """``sent_id, sentence, raw, text, pos, labels, scores, marginals``, null where a sentence has no token.
+
+    With rule tags and a model that executors can hold everything is done row
+    by row.  A table of tags, or of weights beyond that bound, is joined to
+    the tokens instead; both ways give the same.
+    """
+    if tags is None and tagger.small(state_w):
+        rows = tagger.tagged(tagger.described(df, id_col, sentence_col), state_w, trans_w, labels)
+        rows = rows.select("sent_id", "sentence", "raw", "text", "pos", "labels", "scores", "marginals")
+    else:
+        tokens = materialise(structure.token_flags(features.context(features.token_table(df, id_col, sentence_col, tags))))
+        attributes = materialise(features.attributes(features.feature_maps(tokens)))
+        decoded = crf.tag(attributes, state_w, trans_w, labels)
+        packed = F.array_sort(F.collect_list(F.struct("idx", "raw", "text", "pos")))
+        rows = tokens.groupBy("sent_id").agg(packed.alias("t")).select("sent_id", "t.raw", "t.text", "t.pos").join(decoded, "sent_id")
+        rows = df.select(F.col(id_col).alias("sent_id"), F.col(sentence_col).alias("sentence")).join(rows, "sent_id", "left")
+    return crf.guess_names(rows, labels) if expect_name else rows
 
 
 def inspect(df: DataFrame, id_col: str, sentence_col: str, state_w: DataFrame, trans_w: DataFrame, tags: DataFrame | None = None, labels: list[str] = LABELS, expect_name: bool = True, **options: bool) -> DataFrame:
-    """``sent_id, raw, tokens, tags, labels, scores, marginals, record``: a row per sentence with tokens.
+    """``sent_id, sentence, raw, tokens, tags, labels, scores, marginals, record``: a row per sentence.
 
     Units that are not labelled UNIT get their written form back.
     """
-    tokens, decoded = labelled(df, id_col, sentence_col, state_w, trans_w, tags, labels, expect_name)
-    packed = F.array_sort(F.collect_list(F.struct("idx", "raw", "text", "pos")))
-    rows = tokens.groupBy("sent_id").agg(packed.alias("t")).join(decoded, "sent_id")
-    rows = rows.select("sent_id", F.col("t.raw").alias("raw"), F.col("t.text").alias("text"), F.col("t.pos").alias("tags"), "labels", "scores", "marginals")
-    rows = rows.withColumn("tokens", crf.plural_tokens(F.col("raw"), F.col("text"), F.col("labels"))).drop("text")
+    rows = labelled(df, id_col, sentence_col, state_w, trans_w, tags, labels, expect_name)
+    tokens = crf.plural_tokens(F.col("raw"), F.col("text"), F.col("labels"))
+    rows = with_values(rows, tokens=tokens)
+    rows = rows.select("sent_id", "sentence", "raw", "tokens", F.col("pos").alias("tags"), "labels", "scores", "marginals")
     return rows.withColumn("record", assemble.record(F.col("tokens"), F.col("tags"), F.col("labels"), F.col("scores"), **options))
 
 
@@ -35,8 +48,7 @@ def parse(df: DataFrame, id_col: str, sentence_col: str, state_w: DataFrame, tra
     Every input row with an id comes out; a sentence that is null or blank
     has null fields.  Options are those of ``assemble.Options``.
     """
-    done = inspect(df, id_col, sentence_col, state_w, trans_w, tags, labels, expect_name, **options).select("sent_id", "record.*")
-    return df.select(F.col(id_col).alias("sent_id"), F.col(sentence_col).alias("sentence")).join(done, "sent_id", "left")
+    return inspect(df, id_col, sentence_col, state_w, trans_w, tags, labels, expect_name, **options).select("sent_id", "sentence", "record.*")
 
 
 def with_foods(parsed: DataFrame, foods: DataFrame, vectors: DataFrame, overrides: DataFrame | None = None, **options) -> DataFrame:  # noqa: ANN003

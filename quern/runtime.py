@@ -139,6 +139,26 @@ def lookup(big: DataFrame, table: DataFrame, key: str, count: str, spread: Colum
     return out.select(*[F.col(c) for c in big.columns], *[F.col(f"_v{i}").alias(v) for i, v in enumerate(values)])
 
 
+def with_values(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row.
+
+    The optimizer puts the expression of a column in the place of each of its
+    uses; within lambda functions it is then computed again for every
+    element.  A generator of one row keeps values and uses apart, without
+    leaving the stage.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` on all cores, where it is read from fewer files than there are cores.
+
+    A small file is one task, however dear its rows.  Tables of many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def broadcast_if_small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """Marks a table for broadcast if it has at most ``most`` rows; otherwise the optimizer decides.
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quern.functions import tokens as tk
-from quern.operators import experiments, features, spans
+from quern.functions.vocab import LABELS
+from quern.operators import experiments, features, spans, structure
 from quern.plans import core, parse
 
 
@@ -86,3 +87,24 @@ def test_rule_tags(spark):
 def test_registry():
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(q) and all(callable(f) for f in q.values()) and "amounts_by_unit" in q
+
+
+def test_rows_and_joins_tag_alike(spark, monkeypatch):
+    """Both ways of tagging, with random weights for every attribute that occurs."""
+    texts = ["2 cups (about 300 g) red or green peppers, plus more such as Tom or Ann", "1/2 tsp. sea salt", "200g/7oz plain flour or 1 tablespoon rice flour", "onion", "", None, "  ", "3 [large] eggs, beaten, plus 1 yolk"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, sentence string")
+    tokens = structure.token_flags(features.context(features.token_table(df, "id", "sentence")))
+    attrs = [r.attr for r in features.attributes(features.feature_maps(tokens)).select("attr").distinct().orderBy("attr").collect()]
+    rng = np.random.default_rng(5)
+    assert len(attrs) > 500 and {"bias=", "mip_start", "prev2_example_phrase", "next_after_sentence_split", "is_in_parens"} <= set(attrs)
+    state = [(a, str(x), float(w)) for a in attrs for x, w in zip(rng.choice(LABELS, 2, replace=False), rng.normal(size=2))]
+    trans = [(a, b, float(rng.normal())) for a in LABELS for b in LABELS]
+    state, trans = spark.createDataFrame(state, "attr string, label string, w double"), spark.createDataFrame(trans, "src string, dst string, w double")
+    fast = {r.sent_id: r for r in parse.labelled(df, "id", "sentence", state, trans).collect()}
+    monkeypatch.setattr("quern.operators.tagger.MODEL_ROWS", 0)
+    slow = {r.sent_id: r for r in parse.labelled(df, "id", "sentence", state, trans).collect()}
+    assert set(fast) == set(slow) == set(range(len(texts)))
+    for i, r in slow.items():
+        assert (fast[i].labels, fast[i].pos or None, fast[i].sentence) == (r.labels, r.pos, r.sentence)
+        assert r.scores is None and fast[i].scores is None or np.allclose(fast[i].scores, r.scores)
+        assert r.marginals is None or np.allclose(fast[i].marginals, r.marginals)
