@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,23 @@ TOKENS = {
     "swede": "rutabaga", "yoghurt": "yogurt",
 }
 TOKEN_PHRASES = {"lemongrass": ["lemon", "grass"], "low-sodium": ["low", "sodium"]}
-# Stems of verbs that tell that a food is not raw; fixed values.
-COOKED = {porter(w) for w in "baked boiled braised broiled browned canned cooked cured dried fried grilled microwaved pickled poached roasted salted smoked steamed stewed toasted".split()}
+# Stems that tell that a food is not raw, or that it is called so already; fixed values.
+COOKED = [
+    "age", "bake", "black", "blanch", "boil", "brais", "brew", "broil", "butter", "can", "cook", "crisp", "cultur", "cure", "decaffein",
+    "dehydr", "devil", "distil", "dri", "ferment", "flavor", "fortifi", "fresh", "fri", "grill", "ground", "heat", "hull", "microwav",
+    "parboil", "pasteur", "pickl", "poach", "precook", "prepar", "preserv", "powder", "reconstitut", "refin", "refri", "reheat", "rehydr",
+    "render", "roast", "simmer", "smoke", "soak", "spice", "steam", "stew", "toast", "unbak", "unsalt", "raw",
+]
+# Entries for names of exactly these stems; fixed values.
+OVERRIDES = [
+    (["salt"], 746775), (["sea", "salt"], 746775), (["egg"], 748967), (["butter"], 789828), (["garlic"], 1104647), (["mayonnais"], 2710204),
+    (["all", "purpos", "flour"], 790018),
+]
+
+
+def override_table(spark: SparkSession) -> DataFrame:
+    """``tokens, fdc_id`` for ``match``."""
+    return spark.createDataFrame(OVERRIDES, "tokens array<string>, fdc_id bigint")
 
 
 def category_map(*tables: DataFrame) -> DataFrame:
@@ -202,7 +217,7 @@ def match(names: DataFrame, foods: DataFrame, vectors: DataFrame, overrides: Dat
     entries = embed(foods.select(F.col("fdc_id").alias("id"), "tokens"), vectors, probability, factor).select(F.col("id").alias("eid"), F.col("vec").alias("evec"))
     queries = embed(spelled.select(F.col("qid").alias("id"), "tokens"), vectors, probability, factor).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     close = nearest(materialise(queries), materialise(entries), n)
-    cooked = F.arrays_overlap("tokens", F.array(*[F.lit(x) for x in sorted(COOKED)]))
+    cooked = F.arrays_overlap("tokens", F.array(*[F.lit(x) for x in COOKED]))
     q = spelled.select("qid", F.when(cooked, F.col("tokens")).otherwise(F.concat("tokens", F.array(F.lit("raw")))).alias("qtokens"))
     pairs = close.select("qid", "eid").join(q, "qid").join(foods.select(F.col("fdc_id").alias("eid"), F.col("tokens").alias("etokens")), "eid")
     best = fuzzy_distance(pairs, vectors).groupBy("qid").agg(F.min_by(F.struct("eid", "distance"), F.struct("distance", "eid")).alias("_b"))
