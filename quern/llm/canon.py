@@ -235,9 +235,9 @@ def mapped(names: DataFrame, catalogue: DataFrame, id_col: str = "text_id", text
     return lookup(rows, known, "text", "n", F.xxhash64("id")).select(F.col("id").alias("text_id"), "text", "fdc_id", "score")
 
 
-def found(names: DataFrame, catalogue: DataFrame) -> DataFrame:
+def found(names: DataFrame, catalogue: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """``text_id, fdc_id`` (-1: no entry)."""
-    return mapped(names, catalogue).select("text_id", "fdc_id")
+    return mapped(names, catalogue, aliases=aliases).select("text_id", "fdc_id")
 
 
 def unmatched(names: DataFrame, catalogue: DataFrame) -> DataFrame:

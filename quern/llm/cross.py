@@ -222,16 +222,20 @@ def _distance(k: int):  # noqa: ANN202
 
 
 def edit_pairs(df: DataFrame, id_col: str = "id", text_col: str = "sentence", split_col: str = "data_split", k: int = 6) -> DataFrame:
-    """``train_id, eval_id, distance``: distinct strings of both sides within k edits.
-
-    An id is the smallest row with that string on that side; identical
-    strings have distance 0.  Strings of at most k characters, which have no
-    whole segments, are compared with all strings of at most 2 k characters.
-    Null and blank strings and other splits have no pairs.
+    """``kind, id_a, id_b, distance``: strings of train and evaluation rows within k edits.
+
+    ``pair``: the string of ``id_a`` (train) and that of ``id_b`` (evaluation)
+    are ``distance`` edits apart; each is the smallest row with that string on
+    its side; identical strings have distance 0.  ``member``: ``id_b`` has the
+    same string on the same side as ``id_a``, so no row's links are lost and
+    copies are not expanded into all pairs.  Strings of at most k characters,
+    which have no whole segments, are compared with all strings of at most
+    2 k characters, in blocks.  Null and blank strings and other splits have
+    no pairs.
     """
     rows = rows_of(df, id_col, text_col, split=split_col)
     rows = rows.where(~blank(F.col("text")) & F.col("split").isin(*TRAIN, *EVAL))
-    sides = rows.groupBy("text", F.col("split").isin(*EVAL).alias("held")).agg(F.min("id").alias("id"))
+    sides = rows.groupBy("text", F.col("split").isin(*EVAL).alias("held")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     sides = materialise(sides)
     train, held = sides.where("not held").select("id", "text"), sides.where("held").select("id", "text")
     fit = F.length("text") > k
@@ -240,27 +244,40 @@ def edit_pairs(df: DataFrame, id_col: str = "id", text_col: str = "sentence", sp
     maps = [materialise(x.select("id", _bitmap("text").alias("x"))) for x in (train, held)]
     pairs = _blocked(a, b, maps[0].toDF("train_id", "_xa"), maps[1].toDF("eval_id", "_xb"), _pair_bound(k))
     short = F.length("text") <= 2 * k
-    tiny_a = train.where(short).select(F.col("id").alias("train_id"), F.col("text").alias("_a"))
-    tiny_b = held.where(short).select(F.col("id").alias("eval_id"), F.col("text").alias("_b"))
-    # Few distinct strings are this short; their lengths are the join key.
-    steps = F.explode(F.sequence(F.greatest(F.lit(1), F.length("_a") - k), F.length("_a") + k))
-    near = (F.length("_a") <= k) | (F.length("_b") <= k)
-    tiny = tiny_a.withColumn("_l", steps).join(tiny_b.withColumn("_l", F.length("_b")), "_l").where(near).select("train_id", "eval_id")
-    pairs = pairs.unionByName(tiny).distinct()
-    full = pairs.join(train.toDF("train_id", "_a"), "train_id").join(held.toDF("eval_id", "_b"), "eval_id")
-    measured = full.select("train_id", "eval_id", _distance(k)("_a", "_b").alias("distance"))
-    return measured.where(F.col("distance") <= k)
+    # Short strings meet by the length of the evaluation string, in the same blocks; one of a pair has at most k characters.
+    size = F.length("text")
+    key = lambda n, tiny: F.struct(n.cast("bigint").alias("n"), tiny.alias("tiny"))
+    tiny_b = held.where(short).select(F.col("id").alias("eval_id"), F.explode(F.when(size <= k, F.array(key(size, F.lit(True)), key(size, F.lit(False)))).otherwise(F.array(key(size, F.lit(False))))).alias("key"))
+    steps = F.sequence(F.greatest(F.lit(1), size - k), F.least(size + k, F.lit(2 * k)))
+    # A short training string meets every length; a longer one the evaluation strings of at most k characters.
+    tiny_a = train.where(short).select(F.col("id").alias("train_id"), F.explode(F.transform(steps, lambda n: key(n, size > k))).alias("key"))
+    tiny = _blocked(tiny_a, tiny_b, maps[0].toDF("train_id", "_xa"), maps[1].toDF("eval_id", "_xb"), _pair_bound(k))
+    pairs = materialise(pairs.unionByName(tiny).distinct())
+    for side, name, x, other in ((train, "train_id", "_a", "eval_id"), (held, "eval_id", "_b", "train_id")):
+        uses = pairs.groupBy(name).agg(F.count(F.lit(1)).alias("uses"))
+        table = side.select(F.col("id").alias(name), F.col("text").alias(x)).join(uses, name)
+        pairs = lookup(pairs, table, name, "uses", F.xxhash64(other), how="inner")
+    measured = materialise(pairs.select(F.lit("pair").alias("kind"), F.col("train_id").alias("id_a"), F.col("eval_id").alias("id_b"), _distance(k)("_a", "_b").alias("distance")))
+    own = sides.select(F.struct("text", "held").alias("key"), F.col("id").alias("id_a"), "n").where("n > 1")
+    copies = rows.select("id", F.struct("text", F.col("split").isin(*EVAL).alias("held")).alias("key"))
+    members = lookup(copies, own, "key", "n", F.xxhash64("id"), how="inner").where("id <> id_a")
+    members = members.select(F.lit("member").alias("kind"), "id_a", F.col("id").alias("id_b"), F.lit(0).alias("distance")).distinct()
+    return measured.where(F.col("distance") <= k).unionByName(members)
 
 
 def _blocked(a: DataFrame, b: DataFrame, maps_a: DataFrame, maps_b: DataFrame, bound: Column, block: int = 512) -> DataFrame:
     """Joins two key tables; a key that is frequent on both sides is joined in
     blocks, and pairs beyond ``bound`` go in the join itself."""
-    size_b = materialise(b.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_mb")))
-    # Few of the many training keys are those of a segment; only they are kept.
-    live = materialise(a.join(size_b, "key"))
-    size_a = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_ma"), F.first("_mb").alias("_mb"))
-    left = live.select("key", "train_id").join(size_a, "key").withColumn("_ba", F.pmod(F.xxhash64("train_id"), F.col("_ma")).cast("int"))
+    size_b = materialise(b.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_mb"), F.count(F.lit(1)).alias("_nb")))
+    # Few of the many training keys are those of a segment; only they are kept.  The other side has each key once,
+    # so rows of one key pass by one after another, and the adaptive plan splits the partition of a hot one.
+    live = materialise(a.join(size_b.select("key", "_mb"), "key"))
+    size_a = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_ma"), F.first("_mb").alias("_mb"), F.count(F.lit(1)).alias("_na"))
+    size_a = materialise(size_a.join(size_b.select("key", "_nb"), "key"))
+    left = lookup(live.select("key", "train_id"), size_a.select("key", "_ma", "_mb", "_na"), "key", "_na", F.xxhash64("train_id"), how="inner")
+    left = left.withColumn("_ba", F.pmod(F.xxhash64("train_id"), F.col("_ma")).cast("int"))
     left = left.join(maps_a, "train_id").withColumn("_bb", F.explode(F.expr("sequence(0, _mb - 1)"))).select("key", "_ba", "_bb", "train_id", "_xa")
-    right = b.join(size_a, "key").withColumn("_bb", F.pmod(F.xxhash64("eval_id"), F.col("_mb")).cast("int"))
+    right = lookup(b, size_a.select("key", "_ma", "_mb", "_nb"), "key", "_nb", F.xxhash64("eval_id"), how="inner")
+    right = right.withColumn("_bb", F.pmod(F.xxhash64("eval_id"), F.col("_mb")).cast("int"))
     right = right.join(maps_b, "eval_id").withColumn("_ba", F.explode(F.expr("sequence(0, _ma - 1)"))).select("key", "_ba", "_bb", "eval_id", "_xb")
     return left.join(right, ["key", "_ba", "_bb"]).where(bound).select("train_id", "eval_id").distinct()

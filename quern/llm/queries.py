@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "p1_records": lambda s, d: copies.collapse(_rows(s, d)),
         "p2_found": lambda s, d: near.found(_rows(s, d)),
         "p2_groups": lambda s, d: near.groups(_rows(s, d)),
+        "p3_method": lambda s, d: lookalike.consistent(_rows(s, d), strict=True).select("id", "form"),
         "p3_found": lambda s, d: lookalike.found(_rows(s, d)),
         "p3_forms": lambda s, d: lookalike.consistent(_rows(s, d)).select("id", "form"),
         "p4_found": lambda s, d: garbled.found(_rows(s, d)),

@@ -211,14 +211,21 @@ def test_best_path_over_words():
 FOODS = [(1, "t", "Plum, amber, dried", "c"), (2, "t", "Leek (tender), no salt", "c"), (3, "t", "Chickpeas, roasted", "c"), (4, "t", "Beet, tender", "c"), (5, "t", "Blueberry, tart, dried", "c"), (6, "t", "Arugula, winter", "c")]
 
 
-@pytest.mark.parametrize(("text", "want"), [
+NAMES = [
     ("Plum, amber, dried", 1), ("dried amber plums", 1), ("AMBRE  plum *", 1), ("amb. plum", 1), ("tender-leeks", 2), ("the best tender leek", 2), ("roasted garbanzo beans", 3), ("tender beetroot", 4),
     ("tart blueberrise", 5), ("rocket / winter", 6), ("amber leek", -1), ("plum", -1), ("parchment paper", -1), ("???", -1), ("tndr leek", 2), ("x" * 3000, -1),
-])
-def test_names(spark, text, want):
-    foods = spark.createDataFrame(FOODS, "fdc_id int, data_type string, description string, category string")
-    names = spark.createDataFrame([(1, text, None)], "text_id long, text string, loaded_at timestamp")
-    assert [tuple(r) for r in canon.found(names, foods).collect()] == [(1, want)]
+]
+
+
+def test_names(spark):
+    foods = spark.createDataFrame([*FOODS, (7, "t", "Olive oil, extra virgin, cold pressed", "c")], "fdc_id int, data_type string, description string, category string")
+    # Food and qualifier may have several words; all of them are needed.
+    cases = [*NAMES, ("extra virgin olive oil", 7), ("oil olive, virgn extra", 7), ("olive oil", -1)]
+    names = spark.createDataFrame([(i, text, None) for i, (text, _) in enumerate(cases)], "text_id long, text string, loaded_at timestamp")
+    got = {r.text_id: r.fdc_id for r in canon.found(names, foods).collect()}
+    assert {cases[i][0]: x for i, x in got.items()} == dict(cases)
+    none = canon.found(names, foods, aliases=canon.alias_table(spark, {"courgette": "leek"})).collect()
+    assert {cases[r.text_id][0]: r.fdc_id for r in none}["rocket / winter"] == -1
 
 
 def test_name_tables(spark):
@@ -282,7 +289,10 @@ def test_edit_pairs_match_brute_force(spark, k):
         if s.strip() and splits[i]:
             first.setdefault((s, splits[i] == "train"), i)
     want = {(i, j, _distance(a, b)) for (a, t), i in first.items() if t for (b, u), j in first.items() if not u and _distance(a, b) <= k}
-    assert pairs(cross.edit_pairs(rows(spark, sents, splits), k=k)) == want and want
+    got = cross.edit_pairs(rows(spark, sents, splits), k=k).collect()
+    assert {(r.id_a, r.id_b, r.distance) for r in got if r.kind == "pair"} == want and want
+    reps = {r.id_b: r.id_a for r in got if r.kind == "member"}
+    assert all(sents[a - 1] == sents[b - 1] and (splits[a] == "train") == (splits[b] == "train") and a < b for b, a in reps.items())
 
 
 def test_cross_found_and_report(spark):
