@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.runtime import bucket_pairs, lookup, materialise
+from quern.runtime import bucket_pairs, lookup, materialise, with_values
 
 #: A spelling reads as a name if its weighted edits are at most this share of its length.
 MOST_EDITS = 0.25
@@ -61,7 +61,8 @@ def _let(c: Column, f: Callable[[Column], Column]) -> Column:
 
 def plain_number(c: Column) -> Column:
     """Amount text with all its numbers in digits, ``n/d`` fractions and points."""
-    return _let(c, _plain_number)
+    # Most numbers are plain ones already.
+    return _let(c, lambda x: F.when(x.rlike(r"^[0-9]+([.][0-9]+)?$"), x).otherwise(_plain_number(x)))
 
 
 def _plain_number(c: Column) -> Column:
@@ -171,9 +172,10 @@ def resolve_units(spellings: DataFrame, units: DataFrame) -> DataFrame:
     probes = typed.select("bare").distinct().select("bare", F.explode(grams("bare")).alias("gram"))
     exact = typed.select("bare").distinct().join(known, F.col("bare") == F.col("name")).select("bare", "base", F.lit(0.0).alias("cost"))
     met = probes.join(index, "gram").groupBy("bare", "name", "base").agg(F.count(F.lit(1)).alias("shared"))
+    # Written before the Python distance, which would otherwise run once per shared gram.
     # Each edit spoils at most two of the pairs.
     met = met.where((F.length("bare") > 3) & (F.length("name") > 3) & (F.col("shared") >= F.length("bare") + 1 - 2 * F.ceil(F.length("bare") * MOST_EDITS / 0.3)))
-    near = met.withColumn("cost", _edit_cost("bare", "name") / F.length("bare")).where(F.col("cost") <= MOST_EDITS)
+    near = materialise(materialise(met).withColumn("cost", _edit_cost("bare", "name") / F.length("bare"))).where(F.col("cost") <= MOST_EDITS)
     best = exact.unionByName(near.select("bare", "base", "cost")).groupBy("bare").agg(F.min_by("base", F.struct("cost", "base")).alias("base"))
     full = typed.join(best, "bare")
     table = units.select(F.col("unit"), "dimension", F.col("factor_to_base").alias("factor"))
@@ -188,14 +190,13 @@ def resolve_units(spellings: DataFrame, units: DataFrame) -> DataFrame:
 def _parsed(rows: DataFrame) -> DataFrame:
     """``low, high, key`` from ``quantity, quantity_max, unit, text``."""
     some = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    rows = rows.withColumn("_q", plain_number(F.coalesce(some(F.col("quantity")), F.col("text"))))
-    rows = rows.withColumn("_t", plain_number(F.col("text"))).withColumn("_m", plain_number(some(F.col("quantity_max"))))
+    rows = with_values(rows, _q=plain_number(F.coalesce(some(F.col("quantity")), F.col("text"))), _m=plain_number(some(F.col("quantity_max"))))
     part = lambda c, i: F.regexp_extract(c, _AMOUNT, i)
-    low = value_of(part("_q", 1))
-    second = F.coalesce(some(part("_q", 2)), some(part("_m", 2)), some(part("_m", 1)))
-    unit = F.coalesce(some(F.col("unit")), some(part("_q", 3)), some(part("_t", 3)))
-    rows = rows.withColumn("_a", low).withColumn("_b", F.coalesce(value_of(second), F.col("_a"))).withColumn("key", unit_key(unit))
-    return rows.withColumn("low", F.least("_a", "_b")).withColumn("high", F.greatest("_a", "_b")).drop("_q", "_t", "_m", "_a", "_b")
+    rows = with_values(rows, _a=value_of(part("_q", 1)), _u=F.coalesce(some(F.col("unit")), some(part("_q", 3))), _b=F.coalesce(some(part("_q", 2)), some(part("_m", 2)), some(part("_m", 1))))
+    # The text is read only where neither the unit nor the quantity names a unit.
+    unit = F.coalesce("_u", F.when(F.col("_u").isNull() & F.col("quantity").isNotNull(), some(part(plain_number(F.col("text")), 3))))
+    rows = with_values(rows, _high=F.coalesce(value_of(F.col("_b")), F.col("_a")), key=unit_key(unit))
+    return rows.withColumn("low", F.least("_a", "_high")).withColumn("high", F.greatest("_a", "_high")).drop("_q", "_m", "_a", "_b", "_u", "_high")
 
 
 def common_amounts(amounts: DataFrame, composites: DataFrame, units: DataFrame) -> DataFrame:
