@@ -74,6 +74,22 @@ def page(df: DataFrame, offset: int, size: int = 250, id_col: str = "id") -> Dat
     return df.orderBy(id_col).offset(offset).limit(size)
 
 
+def dispatch(df: DataFrame, text: str, offset: int = 0, size: int = 250, id_col: str = "id", **options) -> DataFrame:  # noqa: ANN003
+    """One page of what a search text asks for, with ``total``, the number of all rows found.
+
+    ``==1,5..9`` asks for ids and ranges, ``**`` and ``~~`` for all rows,
+    anything else for the words in a row (``search``, which takes the options).
+    """
+    if text.startswith("=="):
+        found = by_ids(df, text[2:], id_col)
+    elif text.startswith(("**", "~~")):
+        found = df
+    else:
+        found = search(df, text.split(), **options).select(*df.columns)
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return page(found, offset, size, id_col).crossJoin(F.broadcast(total))
+
+
 def sources(df: DataFrame) -> DataFrame:
     return df.select("source").where("source is not null").distinct()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from quern.functions import tokens as tk
 from quern.functions import vocab
 from quern.operators import assemble, catalogue, clusters, crf, evaluation, experiments, features, quality, quantities, spans, structure
 from quern.plans import parse
-from quern.runtime import materialise, widened
+from quern.runtime import materialise, shared_dir, widened
 from quern.sources import io
 from quern.streaming import live
 
@@ -127,14 +128,17 @@ def token_kinds(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT token, regexp_replace(regexp_replace(regexp_replace(strip_accents(token), '[a-z]', 'x', 'g'), '[A-Z]', 'X', 'g'), '[0-9]', 'd', 'g') AS shape,
-CASE WHEN length(token) > 3 THEN token[1:3] END AS prefix_3, CASE WHEN length(token) > 4 THEN token[-4:] END AS suffix_4
-FROM (SELECT DISTINCT unnest(tokens) AS token FROM training_rows) WHERE regexp_matches(token, '^[\x20-\x7e\x{a0}-\x{17f}]*$')""")
-def token_shapes(s: SparkSession, d: str) -> DataFrame:
+@query("""SELECT token, """ + ", ".join(f"CASE WHEN length(token) > {n} THEN token[1:{n}] END AS prefix_{n}, CASE WHEN length(token) > {n} THEN token[-{n}:] END AS suffix_{n}" for n in (3, 4, 5)) + """
+FROM (SELECT DISTINCT unnest(tokens) AS token FROM training_rows)""")
+def token_affixes(s: SparkSession, d: str) -> DataFrame:
     c = F.col("token")
-    # The SQL has no rule for other scripts; those tokens are in token_stems.
-    latin = _distinct_tokens(s, d).where(c.rlike("^[\\x20-\\x7e\\xa0-\\x{17f}]*$"))
-    return latin.select("token", tk.word_shape(c).alias("shape"), tk.affix(c, 3, False).alias("prefix_3"), tk.affix(c, 4, True).alias("suffix_4"))
+    return _distinct_tokens(s, d).select("token", *[tk.affix(c, n, end).alias(f"{'suffix' if end else 'prefix'}_{n}") for n in (3, 4, 5) for end in (False, True)])
+
+
+@query(r"""SELECT token, regexp_replace(regexp_replace(regexp_replace(nfc_normalize(strip_accents(token)), '[a-z]', 'x', 'g'), '[A-Z]', 'X', 'g'), '[0-9]', 'd', 'g') AS shape
+FROM (SELECT DISTINCT unnest(tokens) AS token FROM training_rows)""")
+def token_shapes(s: SparkSession, d: str) -> DataFrame:
+    return _distinct_tokens(s, d).select("token", tk.word_shape(F.col("token")).alias("shape"))
 
 
 @query()
@@ -386,13 +390,73 @@ def stratified_split(s: SparkSession, d: str) -> DataFrame:
     return evaluation.stratified_split(rows(s, d).select("id", "source"), "id", "source")
 
 
-_RUNS = [(1, 0.981, 0.951), (2, 0.979, 0.955), (3, 0.983, 0.949), (4, 0.98, 0.955)]
+_SEEDS = (1, 2, 3, 4)
 
 
-@query("""WITH r(seed, t, s) AS (VALUES (1, 0.981::DOUBLE, 0.951::DOUBLE), (2, 0.979, 0.955), (3, 0.983, 0.949), (4, 0.98, 0.955))
-SELECT round(avg(t), 6) AS token_mean, round(3 * stddev_samp(t), 6) AS token_3sd, round(avg(s), 6) AS sentence_mean, round(3 * stddev_samp(s), 6) AS sentence_3sd, 2 AS best_seed, 3 AS worst_seed FROM r""")
+@query(f"""WITH {_JUDGED}, seeds(seed) AS (VALUES (1), (2), (3), (4)), ids AS (SELECT DISTINCT id, source FROM j),
+k AS (SELECT seed, id, row_number() OVER (PARTITION BY seed, source ORDER BY md5(id::VARCHAR || seed::VARCHAR), id) AS r, count(*) OVER (PARTITION BY seed, source) AS n FROM ids, seeds),
+p AS (SELECT seed, k.id, count(*) AS n, count(*) FILTER (WHERE truth = pred) AS ok FROM k JOIN j ON j.id = k.id WHERE r <= floor(k.n * 0.2 + 0.5) GROUP BY seed, k.id),
+r AS (SELECT seed, sum(ok) / sum(n) AS t, avg((n = ok)::INT) AS s FROM p GROUP BY seed)
+SELECT round(avg(t), 6) AS token_mean, round(3 * stddev_samp(t), 6) AS token_3sd, round(avg(s), 6) AS sentence_mean, round(3 * stddev_samp(s), 6) AS sentence_3sd,
+(SELECT seed FROM r ORDER BY s DESC, seed LIMIT 1) AS best_seed, (SELECT seed FROM r ORDER BY s, seed LIMIT 1) AS worst_seed FROM r""")
 def run_summary(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(evaluation.run_summary(s.createDataFrame(_RUNS, "seed int, token_accuracy double, sentence_accuracy double")))
+    """The lexicon's accuracy on four stratified test splits of the labelled rows."""
+    judged = materialise(_judged(s, d))
+    ids = judged.select("sent_id", "source").distinct()
+    runs = None
+    for seed in _SEEDS:
+        test = evaluation.stratified_split(ids, "sent_id", "source", 0.2, str(seed)).where("is_test").select("sent_id")
+        one = evaluation.accuracy(judged.join(test, "sent_id", "left_semi")).select(F.lit(seed).alias("seed"), "token_accuracy", "sentence_accuracy")
+        runs = one if runs is None else runs.unionByName(one)
+    return _rounded(evaluation.run_summary(runs))
+
+
+@query(f"WITH {_JUDGED} SELECT token, truth, pred, count(*) AS n FROM j WHERE truth <> pred GROUP BY token, truth, pred")
+def misclassified_tokens(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.misclassified(_judged(s, d))
+
+
+@query(f"WITH {_JUDGED} SELECT id AS sent_id, count(*) AS n_tokens, count(*) FILTER (WHERE truth <> pred) AS n_wrong, round(1 - count(*) FILTER (WHERE truth <> pred) / count(*), 6) AS share_right FROM j GROUP BY id")
+def results_by_sentence(s: SparkSession, d: str) -> DataFrame:
+    return _rounded(evaluation.sentence_results(_judged(s, d)))
+
+
+@query(f"""WITH {_JUDGED}, p AS (SELECT source, id, count(*) FILTER (WHERE truth <> pred) > 0 AS wrong, min(1.0 / length(token)) <= 0.1 AS low FROM j GROUP BY source, id)
+SELECT source, count(*) AS n_sentences, count(*) FILTER (WHERE wrong) AS n_mismatched, count(*) FILTER (WHERE low) AS n_low, round(100 * count(*) FILTER (WHERE wrong) / count(*), 6) AS percent FROM p GROUP BY source""")
+def mismatch_shares(s: SparkSession, d: str) -> DataFrame:
+    """Shares by source; the score of a token is that of the lexicon, which is surer of short tokens."""
+    scored = _judged(s, d).withColumn("score", 1 / F.length("token"))
+    return _rounded(evaluation.mismatch_shares(scored, "score", 0.1))
+
+
+@query(f"""WITH {_JUDGED}, f AS (SELECT truth, pred, unnest(['token=' || lower(token), 'first=' || token[1:1], 'length=' || length(token)]) AS feature FROM j)
+SELECT feature, count(*) FILTER (WHERE truth = pred) AS correct, count(*) FILTER (WHERE truth <> pred) AS incorrect FROM f GROUP BY feature""")
+def results_by_feature(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("token")
+    features_ = F.array(F.concat(F.lit("token="), F.lower(t)), F.concat(F.lit("first="), F.left(t, F.lit(1))), F.concat(F.lit("length="), F.length(t).cast("string")))
+    return evaluation.results_by(_judged(s, d).select("truth", "pred", F.explode(features_).alias("feature")), "feature")
+
+
+def _runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    return *_training(s, d), vocab.LABELS
+
+
+@query()
+def train_multiple(s: SparkSession, d: str) -> DataFrame:
+    """Training runs over seeds, each on another stratified split of all labelled rows."""
+    return experiments.repeated(*_runs(s, d), seeds=[1, 2], rounds=4)
+
+
+@query()
+def grid_search(s: SparkSession, d: str) -> DataFrame:
+    """Training runs over combinations of parameters."""
+    return experiments.grid_search(*_runs(s, d), {"c1": [0.0, 0.6], "rounds": [4]})
+
+
+@query()
+def feature_search(s: SparkSession, d: str) -> DataFrame:
+    """Training runs without some features."""
+    return experiments.feature_search(*_runs(s, d), {"none": [], "affixes": [f"{k}_{n}" for k in ("prefix", "suffix") for n in (3, 4, 5)]}, rounds=4)
 
 
 # -- checks and searches -------------------------------------------------------
@@ -466,9 +530,86 @@ def label_clusters(s: SparkSession, d: str) -> DataFrame:
     return clusters.sentence_clusters(rows(s, d).select("id", "tokens"), 40)
 
 
+@query("""SELECT id, source, (SELECT count(*) FROM training_rows) AS total FROM training_rows ORDER BY id LIMIT 250 OFFSET 250""")
+def search_all(s: SparkSession, d: str) -> DataFrame:
+    return quality.dispatch(rows(s, d).select("id", "source"), "**", 250)
+
+
+@query("""WITH f AS (SELECT id, source FROM training_rows WHERE id IN (3, 11) OR id BETWEEN 20 AND 900) SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY id LIMIT 250""")
+def search_ids(s: SparkSession, d: str) -> DataFrame:
+    return quality.dispatch(rows(s, d).select("id", "source"), "==3,11,20..900")
+
+
+@query("""WITH t AS (SELECT id, list_transform(tokens, lambda x: lower(x)) AS low FROM training_rows),
+f AS (SELECT id FROM t WHERE len(list_filter(range(len(low) - 1), lambda i: low[i + 1] = 'olive' AND low[i + 2] = 'oil')) > 0) SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY id LIMIT 250""")
+def search_words(s: SparkSession, d: str) -> DataFrame:
+    return quality.dispatch(rows(s, d).select("id", "tokens", "labels"), "olive oil").select("id", "total")
+
+
+@query("""WITH l AS (SELECT sentence, row_number() OVER (PARTITION BY sentence ORDER BY id) AS k, id AS line FROM training_rows WHERE sentence IS NOT NULL),
+r AS (SELECT sentence, id, row_number() OVER (PARTITION BY sentence ORDER BY id) AS k FROM training_rows WHERE data_split = 'train')
+SELECT l.line, l.sentence, r.id FROM l LEFT JOIN r ON l.sentence = r.sentence AND l.k = r.k""")
+def matched_export(s: SparkSession, d: str) -> DataFrame:
+    lines = rows(s, d).where("sentence is not null").select(F.col("id").alias("line"), "sentence")
+    return io.matched_export(rows(s, d).where("data_split = 'train'").select("id", "sentence"), lines).select("line", "sentence", "id")
+
+
+@query("SELECT fdc_id, data_type, description, category FROM fdc_ingredients")
+def catalogue_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The catalogue written as compressed CSV to the shared folder and read back."""
+    path = f"{shared_dir(s)}/quern-exports/{uuid.uuid4().hex}"
+    io.write_food_catalogue(table(s, d, "fdc_ingredients"), path)
+    return io.food_catalogue(s, path)
+
+
+@query("SELECT 'v' || vec_id AS token, round(list_sum(embedding::DOUBLE[]), 3) AS total, len(embedding)::INT AS n FROM embeddings")
+def vectors_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Vectors written as text lines, with a header and a broken line, and read back."""
+    path = f"{shared_dir(s)}/quern-exports/{uuid.uuid4().hex}"
+    lines = table(s, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string"), F.lit(" "), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")).alias("value"))
+    head = s.createDataFrame([("2 2",), ("broken 1.0 x",)], "value string")
+    head.unionByName(lines).write.text(path)
+    v = io.vectors(s, path)
+    return v.select("token", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"), F.size("vec").alias("n"))
+
+
+@query("SELECT id, source, len(tokens)::INT AS n_tokens, len(labels)::INT AS n_labels FROM training_rows WHERE source IS NOT NULL AND source IN (SELECT DISTINCT source FROM training_rows WHERE source IS NOT NULL ORDER BY source LIMIT 2)")
+def sources_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Labelled rows kept as JSON text, read back for two sources."""
+    path = f"{shared_dir(s)}/quern-exports/{uuid.uuid4().hex}"
+    lists = [F.to_json(c).alias(c) for c in ("tokens", "labels", "foundation_foods", "sentence_split")]
+    rows(s, d).select("id", "source", "sentence", *lists).write.parquet(path)
+    two = [r["source"] for r in quality.sources(rows(s, d)).orderBy("source").limit(2).collect()]
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return io.labelled_sentences(s, path, two).select("id", "source", size("tokens").alias("n_tokens"), size("labels").alias("n_labels"))
+
+
+@query("""WITH p AS (SELECT amount_id, is_subtractive, unnest(range(len(amounts))) AS i, unnest(amounts) AS a, len(amounts) AS n FROM composite_amounts),
+k AS (SELECT amount_id, n, CASE WHEN is_subtractive AND i > 0 THEN -1 ELSE 1 END * a.quantity::DOUBLE * CASE a.unit WHEN 'gram' THEN 1 WHEN 'kilogram' THEN 1000 WHEN 'ounce' THEN 28.349523125 WHEN 'pound' THEN 453.59237 END AS v
+FROM p WHERE regexp_matches(a.quantity, '^[0-9]+([.][0-9]+)?$') AND a.unit IN ('gram', 'kilogram', 'ounce', 'pound'))
+SELECT amount_id, round(sum(v), 6) AS grams FROM k GROUP BY amount_id, n HAVING count(*) = n""")
+def composite_conversions(s: SparkSession, d: str) -> DataFrame:
+    """Composites whose parts are all plain numbers of these mass units, in grams."""
+    plain = F.forall("amounts", lambda a: F.coalesce(a["quantity"].rlike(r"^[0-9]+([.][0-9]+)?$") & a["unit"].isin("gram", "kilogram", "ounce", "pound"), F.lit(False)))
+    parts = F.transform("amounts", lambda a: F.struct(a["quantity"].cast("double").alias("value"), a["unit"].alias("unit")))
+    t = table(s, d, "composite_amounts").where(plain & (F.size("amounts") > 0))
+    return _rounded(t.select("amount_id", units.combined(parts, F.lit("gram"), F.coalesce("is_subtractive", F.lit(False))).alias("grams")))
+
+
 @query()
-def grid_of_parameters(s: SparkSession, d: str) -> DataFrame:
-    return evaluation.parameter_grid(s, {"c1": [0.0, 0.6], "c2": [0.1, 0.5], "rate": [0.2, 0.5, 1.0]})
+def inspected(s: SparkSession, d: str) -> DataFrame:
+    """Everything the parse knows of a sentence: tokens, tags, labels, scores and marginals."""
+    out = parse.inspect(rows(s, d), "id", "sentence", *_rule_weights(s))
+    places = lambda c: F.transform(c, lambda x: F.round(x, 4))
+    return out.select("sent_id", "raw", "tokens", "tags", "labels", places("scores").alias("scores"), F.transform("marginals", places).alias("marginals"))
+
+
+@query("""SELECT event_type, user_id, count(*) AS n FROM events GROUP BY event_type, user_id""")
+def streamed_users(s: SparkSession, d: str) -> DataFrame:
+    """Counts per type and user on a stream, run to its end in update mode."""
+    schema = table(s, d, "events").select("event_type", "user_id").schema
+    stream = s.readStream.schema(schema).parquet(live.files(d, "events"))
+    return live.run_updates(stream.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")), ["event_type", "user_id"])
 
 
 @query()
@@ -479,11 +620,11 @@ def streamed_tokens(s: SparkSession, d: str) -> DataFrame:
     return live.run_once(live.tokenised(stream).select("id", "normalised", "tokens"))
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts::TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def streamed_counts(s: SparkSession, d: str) -> DataFrame:
     schema = table(s, d, "events").select("ts", "event_type").schema
     stream = s.readStream.schema(schema).parquet(live.files(d, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
-    return live.run_once(live.counts(stream, "ts", "event_type", "1 day"))
+    return live.run_updates(live.counts(stream, "ts", "event_type", "1 day"), ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # -- catalogue and similarity --------------------------------------------------
@@ -560,7 +701,7 @@ def food_matches(s: SparkSession, d: str) -> DataFrame:
     texts = table(s, d, "ingredient_texts").where("text is not null").select(F.lower("text").alias("t")).distinct()
     tokens = F.regexp_extract_all("t", F.lit(r"\p{L}+"), F.lit(0))
     names = texts.select(F.col("t").alias("qid"), catalogue.content_tokens(tokens, catalogue.stems(tokens)).alias("tokens"))
-    return catalogue.match(names, foods, vectors)
+    return catalogue.match(names, foods, vectors, catalogue.override_table(s))
 
 
 @query("""SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.normalise import normalise
 from quern.functions.tokens import tokenise
@@ -37,6 +38,27 @@ def run_once(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs an aggregation in update mode and gives the last state of every key.
+
+    Append mode would keep back windows that the watermark has not passed;
+    here the open windows at the end of the input come out as well.  Each
+    batch writes its changed rows; of one key those of the latest batch count.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/quern-streams/{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        # A batch that is run again overwrites its own folder.
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/out")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
+
+
 def records(stream: DataFrame) -> DataFrame:
     """Adds ``record`` to rows with ``tokens, tags, labels, scores``."""
     return stream.withColumn("record", record(F.col("tokens"), F.col("tags"), F.col("labels"), F.col("scores")))
