@@ -299,7 +299,10 @@ def _filled(holes: DataFrame, vocabulary: DataFrame, total: float) -> DataFrame:
     vocabulary = vocabulary.select("word", count.alias("count")).where("count > 0")
     words = vocabulary.where(F.col("word").rlike(r"^[\p{L}\p{N}]*[^\x00-\x7f][\p{L}\p{N}]*$") & (F.length("word") <= bound["part"]))
     keyed = words.select("word", "count", F.explode(_middles("word", F.lit(bound["n"]))).alias("_m")).select("word", "count", "_m.*")
-    met = wild.join(keyed, ["head", "n", "tail"]).select("old", "start", "end", "part", "word", "count").distinct()
+    # A character beyond ASCII never looks like one within, so the ASCII characters of part and word are the same.
+    ascii_ = lambda c: F.regexp_replace(c, r"[^\x00-\x7f]", "")
+    wild, keyed = wild.withColumn("ascii", ascii_("part")), keyed.withColumn("ascii", ascii_("word"))
+    met = wild.join(keyed, ["head", "n", "tail", "ascii"]).select("old", "start", "end", "part", "word", "count").distinct()
     met = met.withColumn("layers", _agreeing("part", "word")).where("layers is not null").drop("part")
     known = plain.join(vocabulary, "word", "left").where("layers = 0 or count is not null").select(*met.columns)
     score = F.log((F.coalesce("count", F.lit(0)) + 0.01) / F.lit(float(total))) - LAYER_COST * F.col("layers")
