@@ -312,7 +312,7 @@ def _rule_weights(s: SparkSession) -> tuple[DataFrame, DataFrame]:
 @query()
 def crf_tags(s: SparkSession, d: str) -> DataFrame:
     t = features.context(features.describe(_long(s, d)))
-    attrs = features.attributes(features.feature_maps(t))
+    attrs = materialise(features.attributes(features.feature_maps(t)))
     decoded = crf.guess_names(crf.tag(attrs, *_rule_weights(s), vocab.LABELS), vocab.LABELS)
     return decoded.select("sent_id", F.array_join("labels", " ").alias("labels"), F.transform("scores", lambda x: F.round(x, 4)).alias("scores"))
 
